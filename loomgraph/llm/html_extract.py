@@ -32,6 +32,8 @@ _FURNITURE_NAMES = {
     "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related",
     "replies", "reply", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
+_LAYOUT = {"with", "has", "no", "is", "without", "layout"}
+_OWN = {"article", "post", "entry", "content", "story"}
 _FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
@@ -47,9 +49,11 @@ def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
         if kind == "hidden" or kind == "role" and value in _FURNITURE_ROLES:
             return True
         if kind in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            names = _NAME.findall(value)
-            if any(n in _FURNITURE_NAMES for n in names) and not (inside_article and names and names[0] in ("article", "post", "entry", "content")):
-                return True
+            for word in value.split():
+                names = _NAME.findall(word)
+                # with-sidebar and the like tell of a page's layout; article-header inside an article is its own.
+                if names and names[0] not in _LAYOUT and any(n in _FURNITURE_NAMES for n in names) and not (inside_article and names[0] in _OWN):
+                    return True
     return False
 
 

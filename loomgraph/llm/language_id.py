@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text in a language's dictionary, and the training texts that may be fetched for it: the bounds of the fit.
 DICTIONARY_BYTES = 64 * 1024
@@ -104,16 +105,18 @@ def decide(names: list[str], got: list[float], n_bytes: int, letters: bool) -> t
     return names[order[0]], score, margin, n_bytes >= MARGIN_BYTES and margin < MIN_MARGIN
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), flags_as: str = "") -> DataFrame:
     """The columns of `keep`, lang_pred, score, margin and rejected for each row, over the whole text.
 
     A null or empty text, or one without a letter, is `und` with score 0 and rejected, as is every text under a model of no
     language. A text of MARGIN_BYTES or more whose margin is below MIN_MARGIN keeps its best language but is rejected.
-    Equal sizes go to the language with more training rows. Repeated rows get equal results.
+    Equal sizes go to the language with more training rows. Repeated rows get equal results. `flags_as` goes before
+    the new columns' names, for tables that have such columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema.simpleString()[7:-1] + ", lang_pred string, score double, margin double, rejected boolean"
+    new = [flags_as + c for c in ("lang_pred", "score", "margin", "rejected")]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(c, k) for c, k in zip(new, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = shared.value.coders()
@@ -126,6 +129,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
                 got.append(decide(names, sizes(coders, s) if letters else [], len(s), letters))
             cols = list(zip(*got, strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*keep, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*keep, *new])
 
     return rows.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import chunks, word_hashes
 
@@ -135,7 +136,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema.simpleString()[7:-1] + ", score double"
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,19 @@
 """All registered queries of the library, with their SQL equivalents."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("code", "impact", "repositories", "content")
+
+
+def _modules():
+    return [import_module(f"loomgraph.plans.{m}") for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _modules() for k, v in m.SQL.items()}

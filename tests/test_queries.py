@@ -41,4 +41,4 @@ def test_no_query_reads_less_than_its_tables():
     """No shares, samples or caps where they aren't the feature."""
     for name, sql in SQL.items():
         assert "SAMPLE" not in sql.upper(), name
-        assert "LIMIT" not in sql or name in {"code_search_fuzzy", "top_complex", "dead_artifacts_paged", "bundle_search", "content_ilike", "top_k_dirs", "conflict_blockages", "work_items_filter"}, name
+        assert "LIMIT" not in sql or name in {"code_search_fuzzy", "top_complex", "dead_artifacts_paged", "bundle_search", "content_ilike", "top_k_dirs", "conflict_blockages", "work_items_filter", "adhoc_readonly"}, name

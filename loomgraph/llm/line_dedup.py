@@ -27,8 +27,9 @@ def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     The first occurrence of a window is that of the least (key, text hash, position). Rows of one key and text are one
     document. Null texts have no windows; a null key sorts first.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    found = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.inline(_windows(lines)))
+    # The lines are a column of their own, else each window's function would split the text anew.
+    split = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.split(F.col(text), "\n", -1).alias("lines"))
+    found = split.select("key", "text_hash", F.inline(_windows(F.col("lines"))))
     at = F.struct("key", "text_hash", "pos")
     first = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["a", "b"]).where(at > F.col("first"))
@@ -46,13 +47,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     """
     cover = covered_lines(docs, key, text).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
     same = F.xxhash64(F.col(text)).eqNullSafe(F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))
-    both = docs.join(cover.hint("shuffle_hash"), same, "left")
-    lines = F.split(F.col(text), "\n", -1)
+    changed = F.col("__covered").isNotNull()
+    both = docs.join(cover.hint("shuffle_hash"), same, "left").withColumn("__lines", F.when(changed, F.split(F.col(text), "\n", -1)))
+    lines = F.col("__lines")
     there = F.sequence(F.lit(0), F.size(lines) - 1)
     gone = F.array_intersect(there, F.col("__covered"))
     kept = F.array_except(there, F.col("__covered"))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-    changed = F.col("__covered").isNotNull()
     out = [F.when(changed, rest).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns if c != removed]
     return both.select(*out, F.when(changed, F.size(gone)).otherwise(F.lit(0)).cast("long").alias(removed))
 

@@ -204,3 +204,40 @@ def column_lineage(models: DataFrame, sql: str = "compiled") -> DataFrame:
     rows = each.select("model", "aliases", name.alias("output"), kind.alias("kind"), F.explode(sources).alias("s"))
     table = F.coalesce(F.try_element_at("aliases", F.substring_index("s", ".", 1)), F.substring_index("s", ".", 1))
     return rows.select("model", "output", F.when(F.contains("s", F.lit(".")), F.concat(table, F.lit("."), F.substring_index("s", ".", -1))).otherwise(F.col("s")).alias("source"), "kind")
+
+
+_METHODS = ("get", "put", "post", "delete", "patch", "head", "options", "trace")
+
+
+def api_endpoints(files: DataFrame) -> DataFrame:
+    """(repo_id, path, route, method, operation_id) of the operations of OpenAPI documents in JSON."""
+    parsed = files.where(F.endswith("path", F.lit(".json"))).select("repo_id", "path", F.from_json("content", "paths map<string, map<string, string>>").alias("api"))
+    routes = parsed.where("api.paths IS NOT NULL").select("repo_id", "path", F.explode("api.paths").alias("route", "methods"))
+    each = routes.where("methods IS NOT NULL").select("repo_id", "path", "route", F.explode("methods").alias("method", "operation")).where(F.col("method").isin(*_METHODS))
+    return each.select("repo_id", "path", "route", "method", F.get_json_object("operation", "$.operationId").alias("operation_id"))
+
+
+# Fixed values: (list in a replay file, id of its items, field with the assets, relationship).
+REPLAYS = (
+    ("dashboards", "dashboard_id", "consumes_assets", "POWERS"),
+    ("checks", "check_id", "targets_assets", "ASSERTS_QUALITY_ON"),
+    ("owners", "owner_id", "owns_assets", "OWNS"),
+    ("contracts", "contract_id", "targets_assets", "DECLARES_CONTRACT_FOR"),
+    ("query_history", "query_id", "touched_assets", "RUNS_QUERY_AGAINST"),
+    ("models", "model_id", "upstream_assets", "ASSET_DERIVES_FROM"),
+)
+
+
+def asset_relationships(files: DataFrame) -> DataFrame:
+    """(repo_id, path, src, type, dst) of the assets that dashboards, checks, owners, contracts, queries and models name in replay files."""
+    schema = ", ".join(f"{name} array<struct<{key}: string, {assets}: array<string>>>" for name, key, assets, _ in REPLAYS)
+    parsed = files.where(F.endswith("path", F.lit(".json"))).select("repo_id", "path", F.from_json("content", schema).alias("r")).where("r IS NOT NULL")
+    kind = "array<struct<src:string,type:string,dst:string>>"
+
+    def rows(name: str, key: str, assets: str, relation: str) -> Column:
+        def of(item: Column) -> Column:
+            return F.transform(F.coalesce(item[assets], F.array().cast("array<string>")), lambda a: F.struct(item[key].alias("src"), F.lit(relation).alias("type"), a.alias("dst")))
+
+        return F.coalesce(F.flatten(F.transform(F.col(f"r.{name}"), of)), F.array().cast(kind))
+
+    return parsed.select("repo_id", "path", F.inline(F.concat(*[rows(*x) for x in REPLAYS])))

@@ -29,9 +29,9 @@ def difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 def page(df: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
     """One page in total order, with the total number of rows and whether more follow; the total is an aggregate of its own, so no window gathers all rows."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     rows = df.orderBy(*order).offset(offset).limit(limit)
-    return rows.join(F.broadcast(total)).withColumn("truncated", F.col("total") > offset + limit)
+    return rows.withColumn("total", total).withColumn("truncated", F.col("total") > offset + limit)
 
 
 def count_if(condition: Column) -> Column:

@@ -146,9 +146,9 @@ def alias_substring_join(t: Tables) -> DataFrame:
     """
     words = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("alias")).distinct()
     more = t.spark.createDataFrame([("the",), ("der",), ("que",), ("les",)], "alias string")
-    aliases = words.unionByName(more).distinct().agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    aliases = words.unionByName(more).distinct().agg(F.array_sort(F.collect_set("alias")).alias("aliases")).scalar()
     low = t.documents.select("doc_id", F.lower("text").alias("low"))
-    hit = low.join(F.broadcast(aliases)).select("doc_id", F.filter("aliases", lambda a: F.contains(F.col("low"), a)).alias("h"))
+    hit = low.withColumn("aliases", aliases).select("doc_id", F.filter("aliases", lambda a: F.contains(F.col("low"), a)).alias("h"))
     return hit.where(F.size("h") > 0).select("doc_id", F.array_min("h").alias("alias"), F.size("h").cast("long").alias("hits"))
 
 

@@ -17,6 +17,8 @@ FILES = {
     "k8s/a.yaml": "apiVersion: v1\nkind: Service\nmetadata:\n  name: web\n  namespace: prod\n---\napiVersion: apps/v1\nkind: Deployment\nmetadata:\n  name: 'web'\n",
     ".github/workflows/ci.yml": "jobs:\n  b:\n    steps:\n      - uses: actions/checkout@v4\n",
     "node_modules/x.js": "function skipped() {}\n",
+    "api/openapi.json": '{"openapi": "3.0.0", "paths": {"/users": {"get": {"operationId": "list"}, "parameters": []}, "/users/{id}": {"delete": {}}}}',
+    "data/replay.json": '{"dashboards": [{"dashboard_id": "d1", "consumes_assets": ["a", "b"]}], "owners": [{"owner_id": "o", "owns_assets": ["a"]}, {"owner_id": "p"}]}',
     "dbt/manifest.json": '{"nodes": {"model.p.m": {"name": "m", "resource_type": "model", "relation_name": "db.m", "depends_on": {"nodes": ["source.u"]}, "columns": {"b": {"name": "b"}, "a": {"name": "a"}}, "compiled_code": "select u.id as user_id, count(o.id) as n, cast(u.age as int) as age, coalesce(u.x, o.y) as z, u.a + o.b as t, name from users u join orders as o on true"}}}',
 }
 
@@ -76,3 +78,8 @@ def test_lineage(tree):
         ("user_id", "users.id", "direct"), ("n", "orders.id", "aggregate"), ("age", "users.age", "cast"), ("z", "users.x", "function"), ("z", "orders.y", "function"),
         ("t", "users.a", "arithmetic"), ("t", "orders.b", "arithmetic"), ("name", "name", "direct"),
     }
+
+
+def test_json_documents(tree):
+    assert {(r["route"], r["method"], r["operation_id"]) for r in extract.api_endpoints(tree).collect()} == {("/users", "get", "list"), ("/users/{id}", "delete", None)}
+    assert {(r["src"], r["type"], r["dst"]) for r in extract.asset_relationships(tree).collect()} == {("d1", "POWERS", "a"), ("d1", "POWERS", "b"), ("o", "OWNS", "a")}

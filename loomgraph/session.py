@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the shared folder, so that loops don't grow their plans and lost executors cost no recomputing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df written once as Parquet to the shared folder and read again; removed when the program ends.
+
+    So loops don't grow their plans, lost executors cost no recomputing, and the planner knows the size of what it joins. A
+    reliable checkpoint would compute df twice and hide its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)

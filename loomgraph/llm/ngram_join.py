@@ -4,9 +4,9 @@ The global order of shingles puts those seen nowhere often first, by hash, then
 similarity t share one of each one's first n - ceil(t * n) + 1 shingles, so these prefixes alone make candidates. The order is
 cut into fragments; overlaps of a candidate pair are counted in each fragment and summed.
 
-Groups of near copies would make pairs by the square of their size. So links are found in two rounds: each set against the
-least set of its best shared list, then, exhaustively, sets that share a prefix shingle but not yet a group. Pairs inside a
-group found so far can't change the groups and are not made.
+Groups of near copies would make pairs by the square of their size. So links are found in two rounds: each set against a
+central set that it shares shingles with, then, exhaustively, sets that share a prefix shingle but not yet a group and whose
+places of that shingle leave room for the overlap. Pairs inside a group found so far can't change the groups and are not made.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ PERCENT = 75
 #: knows at most, the most frequent first. They only shape the order, so no link depends on them.
 LOCAL_FREQUENT = 3
 FREQUENT = 500_000
-CHUNK_SHINGLES = 3_000_000
+CHUNK_SHINGLES = 2_000_000
 #: Fragments of each half (rare, frequent) of the order.
 FRAGMENTS = 4
-_BITS = 1024
+#: Parts that a frequent shingle's rows are dealt to.
+SALTS = 64
 
 
 def _sets(texts, width: int) -> Iterator[np.ndarray]:
@@ -46,8 +47,14 @@ def _name(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> list[int]:
-    """For each of _BITS buckets whether it has an odd number of members: sets differ in as many members as these bits at least."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (_BITS - 1), minlength=_BITS) & 1
+    """For each of some buckets whether it has an odd number of members: sets differ in as many members as these bits at least.
+
+    There are twice as many buckets as members, up to the next power of two, so that long sets tell apart as well as short
+    ones; half of the buckets are the other half's exclusive or away.
+    """
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    # Bucket order is kept, so the two halves of the result are the two halves of the buckets.
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -106,12 +113,12 @@ class _Order:
 
 
 def _prefixes(docs: DataFrame, order, text: str, width: int, percent: int) -> DataFrame:
-    """(token, name, often) of each distinct set's prefix."""
+    """(token, name, pos, often) of each distinct set's prefix; pos counts the set's members before the token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
         for batch in batches:
-            tokens, names, often = [], [], []
+            tokens, names, places, often = [], [], [], []
             for s in _sets(batch.column("text").to_pylist(), width):
                 n = len(s)
                 if not n or (name := _name(s)) in known:
@@ -122,34 +129,34 @@ def _prefixes(docs: DataFrame, order, text: str, width: int, percent: int) -> Da
                 first = np.lexsort((s, c))[: n - _least_overlap(n, percent) + 1]
                 tokens.append(s[first])
                 often.append(c[first] > 0)
+                places.append(np.arange(len(first), dtype=np.int32))
                 names.append(np.full(len(first), name, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(often))], names=["token", "name", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(places)), pa.array(np.concatenate(often))], names=["token", "name", "pos", "often"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, name long, often boolean")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, name long, pos int, often boolean")
 
 
 def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and name: without repeats, those whose token has more than one name; batch by batch."""
+    """Of rows sorted by token and name: without repeats, those whose token is frequent or has more than one name; batch by batch."""
     carry, out_already = None, False  # the last row so far, and whether it was passed on
     for batch in batches:
-        t, n = batch.column("token").to_numpy(), batch.column("name").to_numpy()
-        if carry is not None:
-            t, n = np.concatenate((carry[0], t)), np.concatenate((carry[1], n))
+        rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "name", "pos", "often"))
+        t, n, pos, often = rows if carry is None else (np.concatenate(x) for x in zip(carry, rows, strict=True))
         if not len(t):
             continue
         fresh = np.ones(len(t), bool)
         fresh[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
-        t, n = t[fresh], n[fresh]
-        shared = np.zeros(len(t), bool)
+        t, n, pos, often = t[fresh], n[fresh], pos[fresh], often[fresh]
+        shared = often.copy()
         shared[1:] |= t[1:] == t[:-1]
         shared[:-1] |= t[1:] == t[:-1]
         keep = shared.copy()
         if carry is not None:
             keep[0] &= not out_already
         out_already = bool(shared[-1]) if len(t) > 1 or carry is None else out_already
-        carry = t[-1:], n[-1:]
-        yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(n[keep])], names=["token", "name"])
+        carry = t[-1:], n[-1:], pos[-1:], often[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(n[keep]), pa.array(pos[keep])], names=["token", "name", "pos"])
 
 
 def groups_of(links: DataFrame) -> DataFrame:
@@ -173,9 +180,16 @@ def groups_of(links: DataFrame) -> DataFrame:
 
 def _may_link(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Column:
     """Whether sizes and parity bits leave room for enough overlap."""
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+    def like(x: Column, y: Column) -> Column:
+        # Sets of these sizes have as many buckets or twice as many.
+        half = (F.size(x) / 2).cast("int")
+        folded = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(y), folded).otherwise(x)
+
+    differ = F.aggregate(F.zip_with(like(a, b), like(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + F.coalesce(x, F.lit(0)))
     # overlap >= percent * union / 100 means that at most (100 - percent) / (100 + percent) of all members are in one set alone.
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+    return F.when(100 * F.least(na, nb) >= percent * F.greatest(na, nb), (100 + percent) * differ <= (100 - percent) * (na + nb)).otherwise(F.lit(False))
 
 
 def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, order, key: str, text: str, width: int, percent: int) -> DataFrame:
@@ -229,10 +243,10 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     often = table.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
     order = spark.sparkContext.broadcast(_Order(often["token"].to_numpy(dtype=np.int64).view(np.uint64), often["seen"].to_numpy(dtype=np.int64)))
 
-    prefixes = written(_prefixes(docs, order, text, width, percent), "prefixes")
-    rare = prefixes.where("NOT often").select("token", "name").repartition("token").sortWithinPartitions("token", "name").mapInArrow(_drop_single, "token long, name long")
-    frequent = prefixes.where("often").select("token", "name").dropDuplicates(["token", "name"])
-    lists = written(rare.unionByName(frequent), "lists")
+    prefixes = _prefixes(docs, order, text, width, percent)
+    # A frequent shingle has a list in any case, so its rows need not meet to be kept.
+    spread = F.when(F.col("often"), F.pmod(F.xxhash64("name"), F.lit(SALTS))).otherwise(F.lit(0))
+    lists = written(prefixes.repartition("token", spread).sortWithinPartitions("token", "name").mapInArrow(_drop_single, "token long, name long, pos int"), "lists")
     nodes = written(rows.where("name IS NOT NULL").join(lists.select("name").distinct(), "name", "left_semi").dropDuplicates(["name"]).select("name", "n", "bits"), "nodes")
 
     def sized(pairs: DataFrame) -> DataFrame:
@@ -240,20 +254,23 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         b = nodes.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
         return pairs.join(a, "a").join(b, "b").where(_may_link(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), percent)).select("a", "b", "na", "nb")
 
-    # Round one: each set against the least set of a list, by the list set that it shares most lists with.
-    least = lists.groupBy("token").agg(F.min("name").alias("b"))
-    shared = lists.join(least, "token").where("name > b").groupBy(F.col("name").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
-    best = shared.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    # Round one: each set against the one of a list with fewest members before the shared one, which of near copies is the
+    # one nearest to all; of several such sets the one that it shares most lists with.
+    centre = lists.groupBy("token").agg(F.min(F.struct("pos", "name"))["name"].alias("b"))
+    shared = lists.join(centre, "token").where("name <> b").groupBy(F.col("name").alias("a"), "b").agg(F.count(F.lit(1)).alias("k"))
+    best = shared.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = written(_links(written(sized(best), "pairs"), docs, rows, order, key, text, width, percent), "links")
     groups = groups_of(first)
 
     # Round two: all pairs that share a list but no group. In each list the group with most members only meets the others.
-    member = lists.join(nodes.select("name", "n"), "name").join(groups.withColumnRenamed("node", "name"), "name", "left").select("token", "name", "n", F.coalesce("root", "name").alias("root"))
+    # At the first member that two similar sets share, each has at least the needed overlap from there on.
+    member = lists.join(nodes.select("name", "n"), "name").join(groups.withColumnRenamed("node", "name"), "name", "left").select("token", "name", "n", "pos", F.coalesce("root", "name").alias("root"))
     sizes = member.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", "main")
     member = member.join(mixed, "token")
-    minor = member.where("root <> main").select("token", F.col("name").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-    fits = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+    minor = member.where("root <> main").select("token", F.col("name").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
+    overlap = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent) - 1e-9)
+    fits = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (F.col("n") - F.col("pos") >= overlap) & (F.col("other_n") - F.col("other_pos") >= overlap)
     across = member.join(minor, "token").where((F.col("root") != F.col("other_root")) & fits & ((F.col("root") == F.col("main")) | (F.col("name") < F.col("other"))))
     pairs = across.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
     second = _links(written(sized(pairs), "pairs"), docs, rows, order, key, text, width, percent)

@@ -77,7 +77,7 @@ def test_drop_single_across_batches():
         often = {t: bool(t % 5 == 0) for t in range(8)}
         cuts = sorted(rng.integers(0, n + 1, 3).tolist())
         parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
-        batches = (pa.RecordBatch.from_arrays([pa.array([t for t, _ in p], pa.int64()), pa.array([m for _, m in p], pa.int64()), pa.array([often[t] for t, _ in p], pa.bool_())], names=["token", "name", "often"]) for p in parts)
+        batches = (pa.RecordBatch.from_arrays([pa.array([t for t, _ in p], pa.int64()), pa.array([m for _, m in p], pa.int64()), pa.array([10 * t + m for t, m in p], pa.int32()), pa.array([often[t] for t, _ in p], pa.bool_())], names=["token", "name", "pos", "often"]) for p in parts)
         got = [r for b in ngram_join._drop_single(batches) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         distinct = sorted(set(rows))
         assert got == [r for r in distinct if often[r[0]] or sum(x[0] == r[0] for x in distinct) > 1]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, word_hashes
+from .shared import chunks, lean, mix, word_hashes
 
 #: Positions of a window that count (1) and that may differ (0).
 MASKS = ("1110101", "11001011", "101101001", "11111")
@@ -135,6 +135,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     for seeds in _blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             kind = None
             for batch in batches:
@@ -155,6 +156,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for seeds in _blocks(benchmark, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, written
+from .shared import BROADCAST_ROWS, lean, written
 from .url_filter import host_of
 
 #: Share of a host's pages, and pages at least, in which a token must occur for its class to be part of the template.
@@ -147,6 +147,7 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     """
     rows = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(page), F.lit("")).alias("html"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
@@ -205,6 +206,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
             by_host.setdefault(r["host"], set()).add(r["token"])
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 500):
@@ -217,6 +219,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
     lists = found.groupBy("host").agg(F.collect_list("token").alias("tokens")).select("host", "tokens", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], "left")
 
+    @lean
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):

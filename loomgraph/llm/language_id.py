@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import lean
+
 #: Bytes of text in a language's dictionary, and the training texts that may be fetched for it: the bounds of the fit.
 DICTIONARY_BYTES = 64 * 1024
 TEXTS_PER_LANGUAGE = 300
@@ -45,9 +47,9 @@ class LanguageModel:
     rows: dict[str, int]
 
     def coders(self) -> list[tuple[str, zstandard.ZstdCompressor, list[zstandard.ZstdCompressor]]]:
-        setting = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
-
         def coder(data: bytes) -> zstandard.ZstdCompressor:
+            log = max(10, min(16, len(data).bit_length()))
+            setting = zstandard.ZstdCompressionParameters(window_log=log + 1, chain_log=log, hash_log=log, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=setting)
             return zstandard.ZstdCompressor(compression_params=setting, dict_data=d)
@@ -118,6 +120,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     new = [flags_as + c for c in ("lang_pred", "score", "margin", "rejected")]
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(c, k) for c, k in zip(new, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = shared.value.coders()
         names = [c[0] for c in coders]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, chunks, mix, shingle_hashes, word_hashes, written
+from .shared import BROADCAST_ROWS, chunks, lean, mix, shingle_hashes, word_hashes, written
 
 WIDTH = 5
 PERCENT = 75
@@ -67,6 +67,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, known, key_type = [], 0, set(), None
 
@@ -115,6 +116,7 @@ class _Order:
 def _prefixes(docs: DataFrame, order, text: str, width: int, percent: int) -> DataFrame:
     """(token, name, pos, often) of each distinct set's prefix; pos counts the set's members before the token."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
         for batch in batches:
@@ -200,6 +202,7 @@ def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, order, key: str,
     few = keys.count() <= BROADCAST_ROWS
     wanted = texts.join(F.broadcast(keys) if few else keys, texts["key"].eqNullSafe(keys["key"]), "left_semi").select("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, frags, tokens = [], [], []

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, written
+from .shared import BROADCAST_ROWS, lean, written
 
 WINDOW = 2048
 END = 1
@@ -66,6 +66,7 @@ def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tu
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"row long, part long, key {dict(rows.dtypes)['key']}, n long, first_full long, full array<long>, tail_n int, tail_crc long, tail binary"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if paths not in _LOADED:
             _LOADED[paths] = Tokens(*paths)
@@ -247,6 +248,7 @@ def ids_of(docs: DataFrame, pieces: DataFrame, key: str = "doc_id", text: str =
     spans = pieces.groupBy("key").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("spans"))
     both = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(spans, "key")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if paths not in _LOADED:
             _LOADED[paths] = Tokens(*paths)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks, word_hashes
+from .shared import chunks, lean, word_hashes
 
 #: Positives and unlabelled texts that the fit may fetch: its bounds.
 MAX_POSITIVE = 20_000
@@ -96,6 +96,7 @@ def _texts(rows: DataFrame, total: int, most: int) -> np.ndarray:
     """Features of about `most` of `total` rows (key, text), by a hash of the key, computed where the texts are."""
     draw = F.shiftrightunsigned(F.xxhash64("key", F.lit("quality")), 11) / F.lit(float(2**53))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("text").to_pylist())
@@ -138,6 +139,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("__text").to_pylist())

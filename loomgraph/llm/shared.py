@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,15 @@ BROADCAST_ROWS = 200_000
 _SHIPPED: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts are long, so the default of 10,000 takes much memory in each worker.
+BATCH_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for an application."""
+    """Sends this package to the executors' Python workers, once for an application, and keeps Arrow batches small unless the session sets their size."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parent.parent
@@ -70,6 +79,19 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+def lean(run):
+    """A function for mapInArrow that, when its task ends, gives freed memory back to the system: Python workers live on, and what they keep counts against their executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -88,7 +110,7 @@ _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text that are handled as one array, to bound a worker's memory.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, mix, word_hashes
+from .shared import chunks, lean, mix, word_hashes
 
 #: Shares of all documents that a term of the lexicon is found in. A lexicon holds at most (distinct terms of a document
 #: on average) / LEAST_SHARE terms, however many documents there are, so it is safe to broadcast.
@@ -32,6 +33,7 @@ _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): the hash of each term and the number of documents with it, over all documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -110,6 +112,7 @@ def fingerprints(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [f for f in _fingerprints(batch.column("text").to_pylist(), shared.value)]
@@ -126,7 +129,7 @@ def _fingerprints(texts: list[str | None], lexicon: np.ndarray) -> Iterator[str]
 
 
 def with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (bucket, guest, key, text), in each partition sorted by bucket and descending key, such that the row after a document is the next document in descending key order (after the last the first).
+    """Rows (bucket, guest, key, zipped: the compressed text), in each partition sorted by bucket and descending key, such that the row after a document is the next document in descending key order (after the last the first).
 
     Keys are cut into buckets at approximate quantiles; each bucket's first document is a guest (guest = true) at the end of
     the bucket before. Null keys come last; equal keys are ordered by a hash of the text.
@@ -145,7 +148,13 @@ def with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         place = np.searchsorted(bounds, k.fillna(0).to_numpy(dtype=np.int64), "left")
         return pd.Series(np.where(k.isna(), len(bounds), len(bounds) - place), dtype="int32")
 
-    ranked = rows.select("*", F.xxhash64("text").alias("tie"), bucket_of("key").alias("bucket"))
+    @F.pandas_udf("binary")
+    def zip_up(t: pd.Series) -> pd.Series:
+        coder = zstandard.ZstdCompressor(level=3)
+        return t.map(lambda x: coder.compress(x.encode("utf-8", "surrogatepass")))
+
+    # All texts are dealt out anew, so they travel compressed.
+    ranked = rows.select("key", zip_up("text").alias("zipped"), F.xxhash64("text").alias("tie"), bucket_of("key").alias("bucket"))
     # A row for each bucket: at most MAX_BUCKETS, whatever the input.
     first = ranked.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("top")).collect()
     order = sorted(r["bucket"] for r in first)
@@ -154,7 +163,7 @@ def with_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     at_head = (F.col("bucket") == F.col("b")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))
     both = ranked.join(F.broadcast(heads), at_head, "left")
     homes = F.when(F.col("before").isNull(), F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))))
-    dealt = both.select("key", "text", "tie", F.explode(homes).alias("home")).select("home.bucket", "home.guest", "key", "text", "tie")
+    dealt = both.select("key", "zipped", "tie", F.explode(homes).alias("home")).select("home.bucket", "home.guest", "key", "zipped", "tie")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("tie"))
 
 
@@ -168,14 +177,15 @@ def compare_with_edits(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        held = None  # the row that waits for the next one
+        held, unzip = None, zstandard.ZstdDecompressor()  # held: the row that waits for the next one
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 piece = batch.slice(lo, 500)
-                texts = piece.column("text").to_pylist()
+                texts = [unzip.decompress(z).decode("utf-8", "surrogatepass") for z in piece.column("zipped").to_pylist()]
                 prints = list(_fingerprints(texts, shared.value))
                 pairs = []
                 for row in zip(piece.column("bucket").to_pylist(), piece.column("guest").to_pylist(), piece.column("key").to_pylist(), texts, prints, strict=True):
@@ -193,4 +203,4 @@ def compare_with_edits(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id"
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_neighbours(docs, key, text).select("bucket", "guest", "key", "text").mapInArrow(run, schema)
+    return with_neighbours(docs, key, text).select("bucket", "guest", "key", "zipped").mapInArrow(run, schema)

@@ -65,7 +65,7 @@ def direct_callees(t: Tables) -> DataFrame:
     return S.calls(t).groupBy(F.col("src").alias("caller")).agg(F.count(F.lit(1)).alias("callees"), F.min("dst").alias("first_callee"))
 
 
-@R.add(f"WITH {S.EDGES} SELECT src AS node, dst AS other, type, 'outgoing' AS direction FROM edges UNION ALL SELECT dst, src, type, 'incoming' FROM edges")
+@R.add(f"WITH {S.EDGES} SELECT src AS node, dst AS other, type, 'outgoing' AS direction FROM edges UNION ALL SELECT dst, src, type, 'incoming' FROM edges", whole=True)
 def edges_in_out(t: Tables) -> DataFrame:
     """Edges of every node in both directions."""
     e = S.edges(t)
@@ -73,7 +73,7 @@ def edges_in_out(t: Tables) -> DataFrame:
     return out.unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "type", F.lit("incoming").alias("direction")))
 
 
-@R.add(bfs_sql(S.MAIN_CALLS, "(SELECT dst AS src, src AS dst FROM main_calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0")
+@R.add(bfs_sql(S.MAIN_CALLS, "(SELECT dst AS src, src AS dst FROM main_calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", whole=True)
 def transitive_callers(t: Tables) -> DataFrame:
     """Who reaches the seeds by calls, with the least depth, up to five."""
     return bounded_bfs(_seeds(t), reversed_edges(S.main_calls(t)), 5).where("depth > 0")
@@ -93,7 +93,7 @@ def call_chain_shortest(t: Tables) -> DataFrame:
     return paths.join(F.broadcast(newest), F.col("node") == F.col("target")).select("seed", "target", F.col("depth").alias("hops"))
 
 
-@R.add(bfs_sql(S.MAIN_CALLS, "main_calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM main_calls GROUP BY dst HAVING count(*) >= 3)")
+@R.add(bfs_sql(S.MAIN_CALLS, "main_calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM main_calls GROUP BY dst HAVING count(*) >= 3)", whole=True)
 def reachable_pairs(t: Tables) -> DataFrame:
     """Pairs of a start and a candidate end (a function that three or more call first) that a chain joins."""
     calls = S.main_calls(t)
@@ -101,9 +101,9 @@ def reachable_pairs(t: Tables) -> DataFrame:
     return bounded_bfs(_seeds(t), calls, 10).where("depth > 0").join(ends, "node", "left_semi").select("seed", F.col("node").alias("reached"), "depth")
 
 
-@R.add(f"WITH {S.MAIN_CALLS} SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey)")
+@R.add(f"WITH {S.MAIN_CALLS} SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey)", whole=True)
 def dead_nodes_anti(t: Tables) -> DataFrame:
-    """Functions that nothing calls first."""
+    """Functions that nothing calls first. Of whole tables: that nothing calls."""
     called = S.main_calls(t).select(F.col("dst").alias("id")).distinct()
     return t.part.withColumn("id", node_id("part", "p_partkey")).join(called, "id", "left_anti").select("p_partkey", "p_name")
 
@@ -111,7 +111,7 @@ def dead_nodes_anti(t: Tables) -> DataFrame:
 _POLICY_SQL = "CASE WHEN p_size >= 45 THEN 'entrypoint' WHEN p_name LIKE '%test%' OR p_name LIKE 'Test%' THEN 'test' WHEN p_type LIKE 'PROMO%' THEN 'generated' WHEN substr(p_brand, 1, 7) = 'Brand#5' THEN 'public_api' END"
 
 
-@R.add(f"WITH {S.MAIN_CALLS} SELECT coalesce({_POLICY_SQL}, 'dead') AS verdict, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey) GROUP BY 1")
+@R.add(f"WITH {S.MAIN_CALLS} SELECT coalesce({_POLICY_SQL}, 'dead') AS verdict, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey) GROUP BY 1", whole=True)
 def dead_policy(t: Tables) -> DataFrame:
     """Uncalled functions by what excludes them: entry points, tests, generated code, public interface; else dead."""
     called = S.main_calls(t).select(F.col("dst").alias("id")).distinct()
@@ -126,7 +126,7 @@ def dead_policy(t: Tables) -> DataFrame:
     return uncalled.groupBy(reason.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT n.id, n.label FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id)")
+@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT n.id, n.label FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id)", whole=True)
 def orphan_nodes(t: Tables) -> DataFrame:
     """Nodes without any edge."""
     e = S.edges(t)
@@ -164,7 +164,7 @@ def exact_candidates(t: Tables) -> DataFrame:
 
 
 @R.add(f"""WITH {S.NODES}, {S.EDGES} SELECT n.id, n.name, n.label, coalesce(string_agg(DISTINCT e.type || '>' || split_part(e.dst, ':', 1), ',' ORDER BY e.type || '>' || split_part(e.dst, ':', 1)), '') AS relations
-FROM nodes n LEFT JOIN edges e ON e.src = n.id WHERE n.label <> 'Function' GROUP BY ALL""")
+FROM nodes n LEFT JOIN edges e ON e.src = n.id WHERE n.label <> 'Function' GROUP BY ALL""", whole=True)
 def entity_context(t: Tables) -> DataFrame:
     """Each entity with its distinct kinds of outgoing relations."""
     e = S.edges(t).select("src", F.concat("type", F.lit(">"), F.substring_index("dst", ":", 1)).alias("relation"))
@@ -174,7 +174,7 @@ def entity_context(t: Tables) -> DataFrame:
 
 @R.add(f"WITH {S.MAIN_CALLS}, dead AS (SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey)) SELECT p_partkey, p_name, (SELECT count(*) FROM dead) AS total, (SELECT count(*) FROM dead) > 125 AS truncated FROM dead ORDER BY p_name, p_partkey LIMIT 100 OFFSET 25")
 def dead_artifacts_paged(t: Tables) -> DataFrame:
-    """One page of dead functions, with the total and whether more follow."""
+    """One page of dead functions, with the total and whether more follow. Whole tables give the page over all calls."""
     return page(dead_nodes_anti(t), ["p_name", "p_partkey"], 25, 100).select("p_partkey", "p_name", "total", "truncated")
 
 
@@ -186,7 +186,7 @@ def infra_search(t: Tables) -> DataFrame:
     return t.part.where(anywhere & (F.col("p_size") >= 10)).select("p_partkey", "p_name", F.coalesce(F.nullif("p_type", F.lit("")), "p_brand").alias("resource_type"))
 
 
-@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT e.src, e.dst, e.type FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)")
+@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT e.src, e.dst, e.type FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)", whole=True)
 def edges_endpoint_exists(t: Tables) -> DataFrame:
     """Edges both of whose ends are nodes."""
     ids = S.nodes(t).select("id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import Tables
+from ..sources.tables import Tables, whole_sql
 
 
 class Registry:
@@ -14,14 +14,17 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None, name: str | None = None):
-        """Registers a function of Tables under its own name."""
+    def add(self, sql: str | None = None, name: str | None = None, whole: bool = False):
+        """Registers a function of Tables under its own name; with `whole` also as NAME_whole, over all calls."""
 
         def register(f: Callable[[Tables], DataFrame]):
             key = name or f.__name__
             self.queries[key] = lambda spark, folder: f(Tables(spark, folder))
             if sql:
                 self.sql[key] = sql
+            if whole:
+                self.queries[f"{key}_whole"] = lambda spark, folder: f(Tables(spark, folder, whole=True))
+                self.sql[f"{key}_whole"] = whole_sql(sql)
             return f
 
         return register

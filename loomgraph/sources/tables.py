@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 class Tables:
-    """Tables of one folder, read as they are asked for: tables.part, tables.lineitem, ..."""
+    """Tables of one folder, read as they are asked for: tables.part, tables.lineitem, ... With `whole`, the relations below are without top-k."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, whole: bool = False):
+        self.spark, self.folder, self.whole = spark, folder, whole
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -37,7 +37,9 @@ def call_counts(t: Tables) -> DataFrame:
 
 
 def main_calls(t: Tables) -> DataFrame:
-    """The most frequent call of each part, the first by name of equals: a sparse call graph with long chains."""
+    """The most frequent call of each part, the first by name of equals: a sparse call graph with long chains. Of whole tables: all calls."""
+    if t.whole:
+        return calls(t)
     w = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
     return call_counts(t).withColumn("k", F.row_number().over(w)).where("k = 1").select("src", "dst")
 
@@ -72,7 +74,7 @@ def nodes(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    """(src, dst, type) over all nodes: CONTAINS, DEFINES, DEPENDS_ON, USES and the main CALLS."""
+    """(src, dst, type) over all nodes: CONTAINS, DEFINES, DEPENDS_ON, USES and the main CALLS (of whole tables: all)."""
     return (
         t.nation.select(node_id("tier", "n_regionkey").alias("src"), node_id("repo", "n_nationkey").alias("dst"), F.lit("CONTAINS").alias("type"))
         .unionByName(t.supplier.select(node_id("repo", "s_nationkey").alias("src"), node_id("supp", "s_suppkey").alias("dst"), F.lit("DEFINES").alias("type")))
@@ -109,3 +111,8 @@ edges AS (
   UNION ALL SELECT src, dst, 'DEPENDS_ON' FROM depends_on
   UNION ALL SELECT src, dst, 'USES' FROM uses
   UNION ALL SELECT src, dst, 'CALLS' FROM main_calls)"""
+
+
+def whole_sql(sql: str) -> str:
+    """The SQL twin of a query over whole tables."""
+    return sql.replace(MAIN_CALLS, f"{CALLS},\nmain_calls AS (SELECT src, dst FROM calls)")

@@ -20,7 +20,7 @@ def _nation_seeds(t: Tables) -> DataFrame:
     return t.nation.select(node_id("repo", "n_nationkey").alias("seed"), node_id("repo", "n_nationkey").alias("node"))
 
 
-@R.add(bfs_sql(S.DEPENDS_ON, "(SELECT dst AS src, src AS dst FROM depends_on)", _NATION_SEEDS, 5) + " SELECT b.seed, b.node AS affected, b.depth AS hops, r_name AS tier FROM best b JOIN nation ON 'repo:' || n_nationkey = b.node LEFT JOIN region ON n_regionkey = r_regionkey WHERE b.depth > 0")
+@R.add(bfs_sql(S.DEPENDS_ON, "(SELECT dst AS src, src AS dst FROM depends_on)", _NATION_SEEDS, 5) + " SELECT b.seed, b.node AS affected, b.depth AS hops, r_name AS tier FROM best b JOIN nation ON 'repo:' || n_nationkey = b.node LEFT JOIN region ON n_regionkey = r_regionkey WHERE b.depth > 0", whole=True)
 def blast_radius_repository(t: Tables) -> DataFrame:
     """Repositories that depend on each repository, up to five hops, with the least number of hops and their tier.
 
@@ -37,7 +37,7 @@ homes AS (SELECT p_brand AS module, 'repo:' || s_nationkey AS repo, count(*) AS
 module_seeds AS (SELECT module, arg_max(repo, (n, repo)) AS repo FROM homes GROUP BY 1)"""
 
 
-@R.add(bfs_sql(_MODULE_CTES, "(SELECT dst AS src, src AS dst FROM depends_on)", "SELECT module, repo, 0 FROM module_seeds", 5) + " SELECT seed AS module, node AS repo, depth AS hops FROM best")
+@R.add(bfs_sql(_MODULE_CTES, "(SELECT dst AS src, src AS dst FROM depends_on)", "SELECT module, repo, 0 FROM module_seeds", 5) + " SELECT seed AS module, node AS repo, depth AS hops FROM best", whole=True)
 def blast_radius_module(t: Tables) -> DataFrame:
     """From each module (brand) to the repository that holds most of it (0 hops) and what depends on that."""
     homes = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("p_brand").alias("seed"), node_id("repo", "s_nationkey").alias("repo")).agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +70,7 @@ _TIER_SEEDS = "SELECT 'tier:' || r_regionkey, 'tier:' || r_regionkey, 0 FROM reg
 _SURFACE = S.EDGES + ", surface AS (SELECT src, dst FROM edges WHERE type IN ('CONTAINS', 'DEFINES', 'DEPENDS_ON'))"
 
 
-@R.add(bfs_sql(_SURFACE, "surface", _TIER_SEEDS, 8) + f", {S.NODES} SELECT b.seed, n.id, n.name, n.label, b.depth FROM best b JOIN nodes n ON n.id = b.node WHERE n.label IN ('Repository', 'Workload') AND b.depth > 0")
+@R.add(bfs_sql(_SURFACE, "surface", _TIER_SEEDS, 8) + f", {S.NODES} SELECT b.seed, n.id, n.name, n.label, b.depth FROM best b JOIN nodes n ON n.id = b.node WHERE n.label IN ('Repository', 'Workload') AND b.depth > 0", whole=True)
 def change_surface(t: Tables) -> DataFrame:
     """Repositories and workloads that a change of each tier reaches over edges of several types, with the least depth."""
     e = S.edges(t).where(F.col("type").isin("CONTAINS", "DEFINES", "DEPENDS_ON"))
@@ -89,7 +89,7 @@ def resource_to_code(t: Tables) -> DataFrame:
     return reach.groupBy("seed").agg(F.count(F.when(F.col("depth") == 2, 1)).alias("repositories"), F.min(F.when(F.col("depth") == 2, F.col("node"))).alias("first_repository"))
 
 
-@R.add(bfs_sql(S.DEPENDS_ON + ", both_ways AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on)", "both_ways", _NATION_SEEDS, 8) + " SELECT a.n_name AS source, b.n_name AS target, coalesce(best.depth, -1) AS depth FROM nation a CROSS JOIN nation b LEFT JOIN best ON best.seed = 'repo:' || a.n_nationkey AND best.node = 'repo:' || b.n_nationkey WHERE a.n_nationkey < b.n_nationkey")
+@R.add(bfs_sql(S.DEPENDS_ON + ", both_ways AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on)", "both_ways", _NATION_SEEDS, 8) + " SELECT a.n_name AS source, b.n_name AS target, coalesce(best.depth, -1) AS depth FROM nation a CROSS JOIN nation b LEFT JOIN best ON best.seed = 'repo:' || a.n_nationkey AND best.node = 'repo:' || b.n_nationkey WHERE a.n_nationkey < b.n_nationkey", whole=True)
 def dependency_path(t: Tables) -> DataFrame:
     """Shortest undirected dependency path between any two repositories, -1 where there is none.
 

@@ -15,7 +15,7 @@ class Registry:
         self.sql: dict[str, str] = {}
 
     def add(self, sql: str | None = None, name: str | None = None, whole: bool = False):
-        """Registers a function of Tables under its own name; with `whole` also as NAME_whole, over all calls."""
+        """Registers a function of Tables under its own name; with `whole` also as NAME_whole, over all calls and dependencies."""
 
         def register(f: Callable[[Tables], DataFrame]):
             key = name or f.__name__

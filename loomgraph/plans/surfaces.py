@@ -86,7 +86,7 @@ def semantic_overview(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("files"), count_if(F.contains("text", F.lit("\n"))).alias("multi_line"), count_if(F.rlike("text", F.lit("[0-9]"))).alias("with_digits"))
 
 
-@R.add(f"WITH {S.DEPENDS_ON} SELECT d.src AS repo, d.dst AS source, s.s_suppkey AS workload FROM depends_on d JOIN supplier s ON 'repo:' || s.s_nationkey = d.dst")
+@R.add(f"WITH {S.DEPENDS_ON} SELECT d.src AS repo, d.dst AS source, s.s_suppkey AS workload FROM depends_on d JOIN supplier s ON 'repo:' || s.s_nationkey = d.dst", whole=True)
 def deployment_sources(t: Tables) -> DataFrame:
     """Workloads of the repositories that a repository is deployed from."""
     d = S.depends_on(t).select(F.col("src").alias("repo"), F.col("dst").alias("source"))
@@ -101,7 +101,7 @@ def delivery_paths(t: Tables) -> DataFrame:
 
 
 @R.add(f"""WITH {S.EDGES}, shown AS (SELECT DISTINCT src FROM edges WHERE type = 'DEPENDS_ON')
-SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(*) FILTER (WHERE src IN (SELECT src FROM shown)) AS already_shown FROM edges GROUP BY 1""")
+SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(*) FILTER (WHERE src IN (SELECT src FROM shown)) AS already_shown FROM edges GROUP BY 1""", whole=True)
 def relationship_overview(t: Tables) -> DataFrame:
     """Edges by type, and how many of them start where a group already shown does."""
     e = S.edges(t)

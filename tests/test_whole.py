@@ -55,3 +55,21 @@ def test_chains_over_second_callees(spark, folder):
     assert ends == {5}
     there = {(f"part:{s}", f"part:{x}", d) for (s, x), d in reach([1, 2, 3], CALLS, 10).items() if x in ends}
     assert rows(spark, folder, "reachable_pairs_whole") == there
+
+
+#: Lines that a nation orders of each other nation: 0 takes from 1, 2 and 3, and from 3 the least.
+TAKES = {(0, 1): 3, (0, 2): 2, (0, 3): 1, (1, 4): 1, (3, 4): 2}
+
+
+def test_blast_radius_over_all_dependencies(spark, tmp_path):
+    pairs = [p for p, n in TAKES.items() for _ in range(n)]
+    spark.createDataFrame([(i, s) for i, (_, s) in enumerate(pairs)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, c) for i, (c, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("customer", "supplier"):
+        spark.createDataFrame([(k, k) for k in range(5)], f"{name[0]}_{name[:4]}key long, {name[0]}_nationkey long").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(k, f"N{k}", 0) for k in range(5)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    want = reach(range(5), {(b, a) for a, b in TAKES}, 5)
+    assert want[3, 0] == 1
+    assert rows(spark, str(tmp_path), "blast_radius_repository_whole") == {(f"repo:{s}", f"repo:{x}", d, "R") for (s, x), d in want.items()}
+    assert rows(spark, str(tmp_path), "repo_consumers_whole") == {(f"repo:{b}", sum(y == b for _, y in TAKES), sum(n for (_, y), n in TAKES.items() if y == b)) for _, b in TAKES}

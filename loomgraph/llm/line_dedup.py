@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across a corpus, by overlapping windows of three lines."""
+"""Removal of passages that repeat across a corpus, by overlapping windows of three lines, and on request by shorter ones of many words."""
 
 from __future__ import annotations
 
@@ -8,20 +8,34 @@ from pyspark.sql import functions as F
 LINES = 3
 
 
-def _windows(lines: Column) -> Column:
-    """Structs (pos, a, b) of the windows of an array of lines: 128 hash bits of each run of three lines, or of all lines where there are fewer. Windows of white space only are left out."""
+def _windows(lines: Column, words: Column, over_words: int | None) -> Column:
+    """Structs (pos, n_lines, a, b) of the windows of an array of lines: 128 hash bits of each run of three lines, or of all lines where there are fewer. Windows of white space only are left out.
+
+    With `over_words`, also of each run of one or two lines that holds more words than that; `words` has those of each line.
+    """
     n = F.size(lines)
     starts = F.when(n < LINES, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - LINES))
 
-    def window(i: Column) -> Column:
-        run = F.slice(lines, i + 1, LINES)
+    def window(i: Column, length: int) -> Column:
+        run = F.slice(lines, i + 1, length)
         seen = F.translate(F.concat_ws("", run), " \t\r", "") != ""
-        return F.struct(i.alias("pos"), F.when(seen, F.xxhash64(run)).alias("a"), F.xxhash64(F.lit(7), run).alias("b"))
+        return F.struct(i.alias("pos"), F.lit(length).alias("n_lines"), F.when(seen, F.xxhash64(run)).alias("a"), F.xxhash64(F.lit(7), run).alias("b"))
+
+    def runs(at: Column, length: int) -> Column:
+        return F.transform(at, lambda i: window(i, length))
+
+    def long(length: int) -> Column:
+        at = F.when(n > length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda i: sum((F.element_at(words, i + x) for x in range(2, length + 1)), F.element_at(words, i + 1)) > over_words)
 
-    return F.filter(F.transform(starts, window), lambda w: w["a"].isNotNull())
+    found = [runs(starts, LINES)]
+    if over_words is not None:
+        # A document of as few lines is a window already.
+        found += [runs(long(length), length) for length in range(1, LINES)]
+    return F.filter(F.concat(*found), lambda w: w["a"].isNotNull())
 
 
-def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", over_words: int | None = None) -> DataFrame:
     """For each document with later occurrences: key, text_hash, and the sorted positions of its lines that they cover.
 
     The first occurrence of a window is that of the least (key, text hash, position). Rows of one key and text are one
@@ -29,23 +43,26 @@ def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     # The lines are a column of their own, else each window's function would split the text anew.
     split = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.split(F.col(text), "\n", -1).alias("lines"))
-    found = split.select("key", "text_hash", F.inline(_windows(F.col("lines"))))
+    if over_words is not None:
+        split = split.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    found = split.select("key", "text_hash", F.inline(_windows(F.col("lines"), F.col("words") if over_words is not None else F.lit(None), over_words)))
     at = F.struct("key", "text_hash", "pos")
     first = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = found.join(first, ["a", "b"]).where(at > F.col("first"))
-    runs = later.groupBy("key", "text_hash").agg(F.collect_set("pos").alias("starts"))
-    cover = F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (LINES - 1))))
+    runs = later.groupBy("key", "text_hash").agg(F.collect_set(F.struct("pos", "n_lines")).alias("starts"))
+    cover = F.flatten(F.transform("starts", lambda w: F.sequence(w["pos"], w["pos"] + w["n_lines"] - 1)))
     return runs.select("key", "text_hash", F.array_sort(F.array_distinct(cover)).alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "n_removed", over_words: int | None = None) -> DataFrame:
     """docs with `text` rid of the lines that later occurrences of repeated windows cover, and `removed`, how many went.
 
     Texts without such lines, null and empty ones included, stay as they are. A document all of whose lines go keeps its
     row with an empty text. Repeated rows of one key and text share a result. All other columns stay; a column of docs
-    named as `removed` is replaced.
+    named as `removed` is replaced. Without `over_words`, a passage of one or two lines in a document of three or more is
+    found only with its neighbouring lines; with it, also alone if it holds more words (runs without white space) than that.
     """
-    cover = covered_lines(docs, key, text).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
+    cover = covered_lines(docs, key, text, over_words).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
     same = F.xxhash64(F.col(text)).eqNullSafe(F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))
     changed = F.col("__covered").isNotNull()
     both = docs.join(cover.hint("shuffle_hash"), same, "left").withColumn("__lines", F.when(changed, F.split(F.col(text), "\n", -1)))

@@ -13,6 +13,8 @@ QUALITY_FOLDS, QUALITY_HELD_OUT = 5, 0
 LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
 QUALITY_THRESHOLD = 0.3
 SHARDS = 24
+#: Passages of more words than this go even if they are one or two lines.
+PASSAGE_WORDS = 50
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
+def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like op9_line_dedup, with repeated passages of one or two lines and over fifty words, which the SQL of that query leaves."""
+    cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), over_words=PASSAGE_WORDS)
+    return cleaned.select("doc_id", "text", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=SHARDS, grown=SHARDS + 1)
     return dealt.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -86,7 +94,7 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages go, and with them documents that had nothing else."""
-    cleaned = line_dedup.dedup_lines(docs, removed="__removed")
+    cleaned = line_dedup.dedup_lines(docs, removed="__removed", over_words=PASSAGE_WORDS)
     return cleaned.where("__removed = 0 OR text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -112,7 +120,7 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def queries() -> dict:
-    found = (op1_html_extract, op2_packing, op3_fingerprints, op4_ngram_join, op5_quality, op6_url_filter, op7_language_id, op8_decontaminate, op9_line_dedup, op10_sharding)
+    found = (op1_html_extract, op2_packing, op3_fingerprints, op4_ngram_join, op5_quality, op6_url_filter, op7_language_id, op8_decontaminate, op9_line_dedup, op9_line_dedup_whole, op10_sharding)
     return {f.__name__: f for f in found}
 
 

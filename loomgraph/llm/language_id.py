@@ -18,8 +18,10 @@ from .shared import lean
 #: Bytes of text in a language's dictionary, and the training texts that may be fetched for it: the bounds of the fit.
 DICTIONARY_BYTES = 64 * 1024
 TEXTS_PER_LANGUAGE = 300
-#: Code points of a training text that go into a dictionary at most, so that no long text fills it alone.
+#: Code points of a training text that go into a dictionary at most, so that no long text fills it alone; a hash picks where in the text.
 PIECE = 2000
+#: A language whose dictionary is smaller than this share of the largest must win clearly, by MIN_MARGIN, and doesn't narrow the margin of others.
+SMALL_SHARE = 0.25
 #: Bytes of a text that are encoded as one frame: all of a text is encoded, frame by frame.
 BLOCK = 2048
 #: Texts below this many bytes are encoded by several small dictionaries too, as whole bytes are a coarse measure there.
@@ -46,7 +48,23 @@ class LanguageModel:
     texts: dict[str, bytes]
     rows: dict[str, int]
 
-    def coders(self) -> list[tuple[str, zstandard.ZstdCompressor, list[zstandard.ZstdCompressor]]]:
+    def coders(self) -> Coders:
+        return Coders(self)
+
+
+class Coders:
+    """Encoders of a model's languages, made as they are asked for.
+
+    A language with a smaller dictionary than the largest is compared with an equally long slice of the best language's so far.
+    """
+
+    def __init__(self, model: LanguageModel):
+        self.texts = model.texts
+        self.names = sorted(model.texts, key=lambda x: (-model.rows[x], x))
+        self.levels = [(room, [x for x in self.names if len(self.texts[x]) == room]) for room in sorted({len(x) for x in self.texts.values()}, reverse=True)]
+        self.made: dict[tuple[str, int, bool], list[zstandard.ZstdCompressor]] = {}
+
+    def _coders(self, name: str, room: int, short: bool) -> list[zstandard.ZstdCompressor]:
         def coder(data: bytes) -> zstandard.ZstdCompressor:
             log = max(10, min(16, len(data).bit_length()))
             setting = zstandard.ZstdCompressionParameters(window_log=log + 1, chain_log=log, hash_log=log, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
@@ -54,17 +72,43 @@ class LanguageModel:
             d.precompute_compress(compression_params=setting)
             return zstandard.ZstdCompressor(compression_params=setting, dict_data=d)
 
-        out = []
-        for lang, data in sorted(self.texts.items(), key=lambda x: (-self.rows[x[0]], x[0])):
-            step = max(1, -(-len(data) // PARTS))
-            out.append((lang, coder(data), [coder(data[i : i + step]) for i in range(0, len(data), step)]))
-        return out
+        found = self.made.get((name, room, short))
+        if found is None:
+            data = self.texts[name][:room]
+            step = max(1, -(-len(data) // PARTS)) if short else len(data)
+            found = self.made[name, room, short] = [coder(data[i : i + step]) for i in range(0, len(data), step)]
+        return found
+
+    def sizes(self, text: str) -> list[float]:
+        """Encoded bytes of a text for each of `names`, those of smaller dictionaries in proportion to the equal slice."""
+        data = plain(text).encode("utf-8", "surrogatepass")
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+
+        def size(name: str, room: int) -> float:
+            coders = self._coders(name, room, len(data) < SHORT)
+            return sum(len(c.compress(b)) for c in coders for b in blocks) / len(coders)
+
+        got: dict[str, float] = {}
+        best, top = "", self.levels[0][0] if self.levels else 0
+        for room, level in self.levels:
+            if best:
+                base = size(best, room)
+                for name in level:
+                    ratio = size(name, room) / base
+                    if room < SMALL_SHARE * top and ratio > 1 - MIN_MARGIN:
+                        ratio = max(ratio, 1 + 2 * MIN_MARGIN)
+                    got[name] = got[best] * ratio
+            else:
+                got = {name: size(name, room) for name in level}
+            best = min((x for x in self.names if x in got), key=got.__getitem__)
+        return [got[x] for x in self.names]
 
 
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts_per_language: int = TEXTS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows: about `texts_per_language` of each language, by a hash of the key.
 
-    Rows without text or language teach nothing. Repeated texts go in once. With no labelled row the model knows no language.
+    Rows without text or language teach nothing. Repeated texts go in once. Each language has up to `dictionary_bytes`, however
+    little others have. With no labelled row the model knows no language.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -74,26 +118,19 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     keep = F.lit(False)
     for name, n in counts.items():
         keep = keep | ((F.col("lang") == F.lit(name)) & (draw < F.lit(texts_per_language / n)))
-    rows = known.where(keep).select("lang", F.substring("text", 1, PIECE).alias("piece"), draw.alias("draw")).distinct().collect()
+    # Of the text, not the key, so that copies give one piece. The last piece ends with the text.
+    pieces = F.greatest(F.ceil(F.length("text") / PIECE), F.lit(1))
+    start = F.least(F.pmod(F.xxhash64("text", F.lit("piece")), pieces) * PIECE, F.greatest(F.length("text") - PIECE, F.lit(0))) + 1
+    rows = known.where(keep).select("lang", F.substring("text", start.cast("int"), F.lit(PIECE)).alias("piece"), draw.alias("draw")).distinct().collect()
     parts: dict[str, list[bytes]] = {name: [] for name in counts}
     size = dict.fromkeys(counts, 0)
     for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["piece"])):
         b = plain(r["piece"]).encode()
-        if size[r["lang"]] < dictionary_bytes and b not in parts[r["lang"]]:
+        if size[r["lang"]] <= dictionary_bytes and b not in parts[r["lang"]]:
             parts[r["lang"]].append(b)
             size[r["lang"]] += len(b) + 1
-    # Equal lengths, so that no language has the larger dictionary.
-    room = max(1024, min(min(size.values()), dictionary_bytes))
-    return LanguageModel({name: b" ".join(p)[:room] for name, p in parts.items() if p}, counts)
-
-
-def sizes(coders, text: str) -> list[float]:
-    """Encoded bytes of a text for each language."""
-    data = plain(text).encode("utf-8", "surrogatepass")
-    blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-    if len(data) >= SHORT:
-        return [sum(len(whole.compress(b)) for b in blocks) for _, whole, _ in coders]
-    return [sum(len(c.compress(b)) for c in parts for b in blocks) / len(parts) for _, _, parts in coders]
+    texts = {name: b" ".join(p)[:dictionary_bytes] for name, p in parts.items()}
+    return LanguageModel({name: x for name, x in texts.items() if x.strip()}, counts)
 
 
 def decide(names: list[str], got: list[float], n_bytes: int, letters: bool) -> tuple[str, float, float, bool]:
@@ -112,6 +149,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
 
     A null or empty text, or one without a letter, is `und` with score 0 and rejected, as is every text under a model of no
     language. A text of MARGIN_BYTES or more whose margin is below MIN_MARGIN keeps its best language but is rejected.
+    A language of little training text is compared with equal slices of the others and must win clearly.
     Equal sizes go to the language with more training rows. Repeated rows get equal results. `flags_as` goes before
     the new columns' names, for tables that have such columns.
     """
@@ -123,13 +161,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = shared.value.coders()
-        names = [c[0] for c in coders]
+        names = coders.names
         for batch in batches:
             got = []
             for t in batch.column("__text"):
                 s = t.as_py() or ""
                 letters = bool(_LETTER.search(s))
-                got.append(decide(names, sizes(coders, s) if letters else [], len(s), letters))
+                got.append(decide(names, coders.sizes(s) if letters else [], len(s), letters))
             cols = list(zip(*got, strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*keep, *new])

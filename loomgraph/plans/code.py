@@ -16,6 +16,9 @@ SEEDS = ("part:1", "part:2", "part:3")
 
 
 def _seeds(t: Tables, ids=SEEDS) -> DataFrame:
+    """The three ids; of whole tables the search set, every hundredth id of the part table."""
+    if t.whole:
+        return t.part.where("p_partkey % 100 = 0").select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
     return t.spark.createDataFrame([(x, x) for x in ids], "seed string, node string")
 
 
@@ -27,6 +30,12 @@ best AS (SELECT seed, node, min(depth)::INTEGER AS depth FROM r GROUP BY seed, n
 
 
 SEED_SQL = "SELECT x, x, 0 FROM (VALUES ('part:1'), ('part:2'), ('part:3')) s(x)"
+SEARCH_SET_SQL = "SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0 FROM part WHERE p_partkey % 100 = 0"
+
+
+def _from_search_set(sql: str) -> str:
+    return sql.replace(SEED_SQL, SEARCH_SET_SQL).replace("r.depth < 3", "r.depth < 5")
+
 
 
 @R.add("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -73,19 +82,19 @@ def edges_in_out(t: Tables) -> DataFrame:
     return out.unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "type", F.lit("incoming").alias("direction")))
 
 
-@R.add(bfs_sql(S.MAIN_CALLS, "(SELECT dst AS src, src AS dst FROM main_calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", whole=True)
+@R.add(bfs_sql(S.MAIN_CALLS, "(SELECT dst AS src, src AS dst FROM main_calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", whole=_from_search_set)
 def transitive_callers(t: Tables) -> DataFrame:
     """Who reaches the seeds by calls, with the least depth, up to five."""
     return bounded_bfs(_seeds(t), reversed_edges(S.main_calls(t)), 5).where("depth > 0")
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 3) + " SELECT seed, node, depth FROM best WHERE depth > 0")
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 3) + " SELECT seed, node, depth FROM best WHERE depth > 0", whole=_from_search_set)
 def transitive_callees(t: Tables) -> DataFrame:
-    """What the seeds reach over all calls, with the least depth, up to three."""
-    return bounded_bfs(_seeds(t), S.calls(t), 3).where("depth > 0")
+    """What the seeds reach over all calls, with the least depth, up to three; of whole tables up to five."""
+    return bounded_bfs(_seeds(t), S.calls(t), 5 if t.whole else 3).where("depth > 0")
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0")
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0", whole=_from_search_set)
 def call_chain_shortest(t: Tables) -> DataFrame:
     """Length of the shortest call chain from each seed to the newest function. Of equal chains the least by ids is taken, where the reference lists them all."""
     paths = shortest_paths(_seeds(t), S.calls(t), 5).where("depth > 0")
@@ -93,7 +102,7 @@ def call_chain_shortest(t: Tables) -> DataFrame:
     return paths.join(F.broadcast(newest), F.col("node") == F.col("target")).select("seed", "target", F.col("depth").alias("hops"))
 
 
-@R.add(bfs_sql(S.MAIN_CALLS, "main_calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM main_calls GROUP BY dst HAVING count(*) >= 3)", whole=True)
+@R.add(bfs_sql(S.MAIN_CALLS, "main_calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM main_calls GROUP BY dst HAVING count(*) >= 3)", whole=_from_search_set)
 def reachable_pairs(t: Tables) -> DataFrame:
     """Pairs of a start and a candidate end (a function that three or more call first) that a chain joins."""
     calls = S.main_calls(t)

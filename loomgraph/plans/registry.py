@@ -14,8 +14,8 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None, name: str | None = None, whole: bool = False):
-        """Registers a function of Tables under its own name; with `whole` also as NAME_whole, over all calls and dependencies."""
+    def add(self, sql: str | None = None, name: str | None = None, whole: bool | Callable[[str], str] = False):
+        """Registers a function of Tables under its own name; with `whole` also as NAME_whole, over all calls and dependencies; a function makes further changes to that query's SQL."""
 
         def register(f: Callable[[Tables], DataFrame]):
             key = name or f.__name__
@@ -24,7 +24,7 @@ class Registry:
                 self.sql[key] = sql
             if whole:
                 self.queries[f"{key}_whole"] = lambda spark, folder: f(Tables(spark, folder, whole=True))
-                self.sql[f"{key}_whole"] = whole_sql(sql)
+                self.sql[f"{key}_whole"] = whole_sql(whole(sql) if callable(whole) else sql)
             return f
 
         return register

@@ -7,8 +7,8 @@ from loomgraph.plans import code
 from loomgraph.sources.tables import Tables
 
 #: Orders as the parts on their lines: 1 calls 2 most, and 3; 3 calls 4, and 5 first; only 4 calls 200, and 5 more often.
-ORDERS = [[1, 2], [1, 2], [1, 3], [3, 4], [3, 5], [3, 5], [4, 5], [4, 5], [4, 200], [6, 6], [200, 100], [100, 3], [2, 5]]
-PARTS = [1, 2, 3, 4, 5, 6, 100, 200]
+ORDERS = [[1, 2], [1, 2], [1, 3], [3, 4], [3, 5], [3, 5], [4, 5], [4, 5], [4, 200], [6, 6], [200, 100], [100, 3], [2, 5], [5, 7], [7, 8]]
+PARTS = [1, 2, 3, 4, 5, 6, 7, 8, 100, 200]
 CALLS = {(a, b) for o in ORDERS for a, b in zip(o, o[1:], strict=False) if a != b}
 
 
@@ -48,15 +48,22 @@ def test_dead_code_over_all_calls(spark, folder):
 
 
 def test_chains_over_second_callees(spark, folder):
-    back = reach([1, 2, 3], {(b, a) for a, b in CALLS}, 5)
-    assert back[3, 4] == 3
+    back = reach([100, 200], {(b, a) for a, b in CALLS}, 5)
+    assert back[100, 1] == 4
     assert rows(spark, folder, "transitive_callers_whole") == {(f"part:{s}", f"part:{x}", d) for (s, x), d in back.items()}
     ends = {b for _, b in CALLS if sum(y == b for _, y in CALLS) >= 3}
     assert ends == {5}
-    there = {(f"part:{s}", f"part:{x}", d) for (s, x), d in reach([1, 2, 3], CALLS, 10).items() if x in ends}
+    there = {(f"part:{s}", f"part:{x}", d) for (s, x), d in reach([100, 200], CALLS, 10).items() if x in ends}
     assert rows(spark, folder, "reachable_pairs_whole") == there
 
 
+def test_callees_of_the_search_set_to_depth_five(spark, folder):
+    out = reach([100, 200], CALLS, 5)
+    assert out[200, 8] == 5
+    assert rows(spark, folder, "transitive_callees_whole") == {(f"part:{s}", f"part:{x}", d) for (s, x), d in out.items()}
+    assert rows(spark, folder, "call_chain_shortest_whole") == {("part:100", "part:200", out[100, 200])}
+
+
 #: Lines that a nation orders of each other nation: 0 takes from 1, 2 and 3, and from 3 the least.
 TAKES = {(0, 1): 3, (0, 2): 2, (0, 3): 1, (1, 4): 1, (3, 4): 2}
 

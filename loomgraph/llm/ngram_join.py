@@ -7,6 +7,10 @@ cut into fragments; overlaps of a candidate pair are counted in each fragment an
 Groups of near copies would make pairs by the square of their size. So links are found in two rounds: each set against a
 central set that it shares shingles with, then, exhaustively, sets that share a prefix shingle but not yet a group and whose
 places of that shingle leave room for the overlap. Pairs inside a group found so far can't change the groups and are not made.
+
+A passage that is spread thinly over the tasks looks rare to each of them, so its shingles stand in prefixes and their lists
+grow with the corpus. The sets of lists that hold CROWD groups or more are therefore ordered again, by exact counts of all
+their shingles, and make their pairs from the prefixes of that order; shorter lists make at most CROWD / 2 pairs of groups a row.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import BROADCAST_ROWS, chunks, lean, mix, shingle_hashes, word_hashes, written
@@ -31,6 +35,8 @@ CHUNK_SHINGLES = 2_000_000
 FRAGMENTS = 4
 #: Parts that a frequent shingle's rows are dealt to.
 SALTS = 64
+#: Groups in a list from which on its sets are ordered by exact counts.
+CROWD = 8
 
 
 def _sets(texts, width: int) -> Iterator[np.ndarray]:
@@ -194,13 +200,72 @@ def _may_link(na: Column, nb: Column, a: Column, b: Column, percent: int) -> Col
     return F.when(100 * F.least(na, nb) >= percent * F.greatest(na, nb), (100 + percent) * differ <= (100 - percent) * (na + nb)).otherwise(F.lit(False))
 
 
+def _texts_of(names: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """One column, text: the rows of docs that have a set of the given names, by the least key of each."""
+    keys = written(rows.join(names, "name", "left_semi").groupBy("name").agg(F.min("key").alias("key")).select("key").distinct(), "keys")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    few = keys.count() <= BROADCAST_ROWS
+    return texts.join(F.broadcast(keys) if few else keys, texts["key"].eqNullSafe(keys["key"]), "left_semi").select("text")
+
+
+def _crowded(texts: DataFrame, nodes: DataFrame, order, width: int, percent: int) -> DataFrame:
+    """(token, name, n, pos) of the prefixes of these texts' sets in the order of exact counts among them.
+
+    Shingles of one set only come first and need no row, as they have no list: they only move the places of the others.
+    """
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, names, seen, size = [], [], [], 0
+            for s in _sets(batch.column("text").to_pylist(), width):
+                tokens.append(s.view(np.int64))
+                names.append(np.full(len(s), _name(s) if len(s) else 0, np.int64))
+                seen.append(order.value.counts(s))
+                size += len(s)
+                if size > CHUNK_SHINGLES // 8:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, names, seen)], names=["token", "name", "seen"])
+                    tokens, names, seen, size = [], [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, names, seen)], names=["token", "name", "seen"])
+
+    spread = F.when(F.col("seen") > 0, F.pmod(F.xxhash64("name"), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = texts.mapInArrow(run, "token long, name long, seen long").withColumn("part", spread)
+    by_token = Window.partitionBy("token", "part")
+    # Rows of one key with several texts may bring a set more than once.
+    fresh = dealt.withColumn("before", F.lag("name").over(by_token.orderBy("name"))).where("before IS NULL OR before <> name")
+    # Frequent shingles are dealt to parts and known by how often their chunks had them, all others by their exact count.
+    counted = fresh.withColumn("k", F.when(F.col("seen") == 0, F.count(F.lit(1)).over(by_token)).otherwise(F.lit(0))).where("k <> 1").select("token", "name", "seen", "k")
+    own = Window.partitionBy("name")
+    placed = counted.join(nodes.select("name", "n"), "name").withColumn("pos", F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("seen", "k", "token")) - 1)
+    return placed.where(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")).select("token", "name", "n", F.col("pos").cast("int").alias("pos"))
+
+
+def _mixed(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of lists (token, name, n, pos) that hold several groups, with root, the number of groups, and main, the group with most members."""
+    member = lists.join(groups.withColumnRenamed("node", "name"), "name", "left").select("token", "name", "n", "pos", F.coalesce("root", "name").alias("root"))
+    sizes = member.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return member.join(mixed, "token")
+
+
+def _across(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that meet in a list of _mixed at places that leave room for the overlap.
+
+    The group with most members only meets the others. At the first member that two similar sets share, each has at least
+    the needed overlap from there on.
+    """
+    minor = member.where("root <> main").select("token", F.col("name").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
+    overlap = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent) - 1e-9)
+    fits = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (F.col("n") - F.col("pos") >= overlap) & (F.col("other_n") - F.col("other_pos") >= overlap)
+    across = member.join(minor, "token").where((F.col("root") != F.col("other_root")) & fits & ((F.col("root") == F.col("main")) | (F.col("name") < F.col("other"))))
+    return across.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
+
+
 def _links(pairs: DataFrame, docs: DataFrame, rows: DataFrame, order, key: str, text: str, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b, na, nb) whose sets overlap enough: counted by fragment of the order, summed by pair."""
     nodes = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-    keys = written(rows.join(nodes, "name").groupBy("name").agg(F.min("key").alias("key")).select("key").distinct(), "keys")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    few = keys.count() <= BROADCAST_ROWS
-    wanted = texts.join(F.broadcast(keys) if few else keys, texts["key"].eqNullSafe(keys["key"]), "left_semi").select("text")
+    wanted = _texts_of(nodes, docs, rows, key, text)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,17 +330,11 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     first = written(_links(written(sized(best), "pairs"), docs, rows, order, key, text, width, percent), "links")
     groups = groups_of(first)
 
-    # Round two: all pairs that share a list but no group. In each list the group with most members only meets the others.
-    # At the first member that two similar sets share, each has at least the needed overlap from there on.
-    member = lists.join(nodes.select("name", "n"), "name").join(groups.withColumnRenamed("node", "name"), "name", "left").select("token", "name", "n", "pos", F.coalesce("root", "name").alias("root"))
-    sizes = member.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", "main")
-    member = member.join(mixed, "token")
-    minor = member.where("root <> main").select("token", F.col("name").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("root").alias("other_root"))
-    overlap = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent) - 1e-9)
-    fits = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (F.col("n") - F.col("pos") >= overlap) & (F.col("other_n") - F.col("other_pos") >= overlap)
-    across = member.join(minor, "token").where((F.col("root") != F.col("other_root")) & fits & ((F.col("root") == F.col("main")) | (F.col("name") < F.col("other"))))
-    pairs = across.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    # Round two: all pairs that share a list but no group.
+    member = written(_mixed(lists.join(nodes.select("name", "n"), "name"), groups), "member")
+    crowd = member.where(F.col("groups") >= CROWD).select("name").distinct()
+    again = written(_crowded(_texts_of(crowd, docs, rows, key, text), nodes, order, width, percent), "again")
+    pairs = _across(member.where(F.col("groups") < CROWD), percent).unionByName(_across(_mixed(again, groups), percent)).distinct()
     second = _links(written(sized(pairs), "pairs"), docs, rows, order, key, text, width, percent)
     groups = written(groups_of(first.unionByName(second)), "groups")
 

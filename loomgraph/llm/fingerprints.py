@@ -17,17 +17,18 @@ from .shared import chunks, lean, mix, word_hashes
 #: on average) / LEAST_SHARE terms, however many documents there are, so it is safe to broadcast.
 LEAST_SHARE = 0.0005
 MOST_SHARE = 0.2
-#: Random subsets at each level; a subset of level l holds each term with probability 2 ** -l.
+#: Random subsets of the lexicon, and of all terms; a subset of level l holds each term with probability 2 ** -l.
 SUBSETS = 32
+WIDE_SUBSETS = 16
 LEVELS = 24
-#: Texts with fewer terms in the lexicon are fingerprinted by all their terms.
-LEAST_TERMS = 8
 #: Terms that a task counts before it passes them on, to bound its memory.
 FLUSH = 2_000_000
 #: Documents in a bucket of consecutive keys, and buckets at most.
 BUCKET_ROWS = 5_000
 MAX_BUCKETS = 20_000
-_SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, SUBSETS + WIDE_SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -64,47 +65,63 @@ def fit_lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE,
     return np.sort(got.view(np.uint64))
 
 
+def _hashed(terms: np.ndarray, seeds: np.ndarray) -> tuple[int, np.ndarray]:
+    """The level of sorted distinct terms, and for each subset of that level and of the next 16 bits of the hash of its terms in order; 0 for none."""
+    if not len(terms):
+        return 0, np.zeros((2, len(seeds)), np.uint16)
+    level = min(LEVELS, max(0, round(float(np.log2(len(terms))) - 0.25)))
+    mixed = mix(terms[:, None] ^ seeds[None, :])
+    out = np.zeros((2, len(seeds)), np.uint16)
+    for k in (level, level + 1):
+        subset, at = np.nonzero(((mixed >> np.uint64(64 - k)) == 0).T) if k else tuple(x.ravel() for x in np.indices(mixed.T.shape))
+        if not len(subset):
+            continue
+        begin = np.flatnonzero(np.r_[True, subset[1:] != subset[:-1]])
+        place = np.arange(len(subset)) - np.repeat(begin, np.diff(np.r_[begin, len(subset)]))
+        # Each term's hash counts with its place, so the sum names the sorted list.
+        total = np.add.reduceat(mix(mixed[at, subset] + (place.astype(np.uint64) + np.uint64(1)) * _STEP), begin)
+        out[k - level, subset[begin]] = np.maximum(mix(total) >> np.uint64(48), 1)
+    return level, out
+
+
 def fingerprint_terms(words: np.ndarray, lexicon: np.ndarray) -> str:
-    """The fingerprint of a text's words: mode (b: terms of the band, a: all terms, z: no words), level, and 16 bits for each subset of that level and of the next.
+    """The fingerprint of a text's words: two parts, of its terms in the lexicon and of all its terms, each with a level and 16 bits for each subset of that level and of the next; z for a text without words.
 
-    The level is the one at which a subset holds about one of the text's terms, so that each hash stands on few terms.
+    The level is the one at which a subset holds about one of the text's terms, so that each hash stands on few terms. All
+    texts have both parts: where a short text has few terms in the band or none, the second one tells.
     """
     terms = np.unique(words)
     if not len(terms):
         return "z"
-    mode = "b"
+    band = terms[:0]
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
         band = terms[lexicon[at] == terms]
-    else:
-        band = terms[:0]
-    if len(band) < LEAST_TERMS:
-        mode, band = "a", terms
-    level = min(LEVELS, max(0, round(float(np.log2(len(band))) - 0.25)))
-    mixed = mix(band[:, None] ^ _SEEDS[None, :])
-    out = []
-    for k in (level, level + 1):
-        inside = (mixed >> np.uint64(64 - k)) == 0 if k else np.ones_like(mixed, bool)
-        # Distinct terms in order, each hashed anew by its subset: their sum names the set.
-        total = np.where(inside, mix(mixed + np.uint64(k + 1)), np.uint64(0)).sum(0, dtype=np.uint64)
-        short = (mix(total) >> np.uint64(48)).astype(np.uint16)
-        out.append(np.where(inside.any(0), np.maximum(short, 1), 0).astype(">u2"))
-    return f"{mode}{level:02d}" + np.concatenate(out).tobytes().hex()
+    return "".join(f"{level:02d}" + short.astype(">u2").tobytes().hex() for level, short in (_hashed(band, _SEEDS[:SUBSETS]), _hashed(terms, _SEEDS[SUBSETS:])))
+
+
+def _parts(f: str) -> list[tuple[int, np.ndarray]]:
+    cut = 2 + 8 * SUBSETS
+    return [(int(p[:2]), np.frombuffer(bytes.fromhex(p[2:]), dtype=">u2").reshape(2, -1)) for p in (f[:cut], f[cut:])]
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of subsets with equal hashes among those where either text has a term, at the sparser level that both have."""
+    """0 to 1: the share of subsets with equal hashes among those where either text has a term, over the levels that both have and both parts."""
     if a == b:
         return 1.0
-    if a[0] != b[0] or a[0] == "z":
-        return 0.0
-    la, lb = int(a[1:3]), int(b[1:3])
-    if abs(la - lb) > 1:
+    if "z" in (a, b):
         return 0.0
-    level = min(la, lb) + 1
-    x, y = (np.frombuffer(bytes.fromhex(f[3:]), dtype=">u2").reshape(2, -1)[level - k] for f, k in ((a, la), (b, lb)))
-    either = (x > 0) | (y > 0)
-    return float(((x == y) & either).sum() / either.sum()) if either.any() else 0.0
+    same = either = 0
+    for (la, x), (lb, y) in zip(_parts(a), _parts(b), strict=True):
+        levels = range(max(la, lb), min(la, lb) + 2)
+        for level in levels:
+            p, q = x[level - la], y[level - lb]
+            there = (p > 0) | (q > 0)
+            same, either = same + int(((p == q) & there).sum()), either + int(there.sum())
+        if not levels:
+            # The sparser one's subsets don't tell what they share, so they count as different.
+            either += int(((x[0] > 0) | (y[0] > 0)).sum())
+    return same / either if either else 0.0
 
 
 def fingerprints(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,15 +24,9 @@ PIECE = 2000
 SMALL_SHARE = 0.25
 #: Bytes of a text that are encoded as one frame: all of a text is encoded, frame by frame.
 BLOCK = 2048
-#: Texts below this many bytes are encoded by several small dictionaries too, as whole bytes are a coarse measure there.
-SHORT = 400
-PARTS = 8
-#: A long text is rejected if the runner-up needs less than this much more than the best.
+#: A text is rejected if the runner-up needs less than this much more than the best.
 MIN_MARGIN = 0.01
-#: Bytes from which on a narrow margin counts: below, it only shows that whole bytes are coarse.
-MARGIN_BYTES = 400
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -41,6 +35,11 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of a Unicode letter category; fractions and other numbers are none."""
+    return any(map(str.isalpha, text))
+
+
 @dataclass
 class LanguageModel:
     """Dictionary text of each language, and how many rows taught it."""
@@ -62,31 +61,31 @@ class Coders:
         self.texts = model.texts
         self.names = sorted(model.texts, key=lambda x: (-model.rows[x], x))
         self.levels = [(room, [x for x in self.names if len(self.texts[x]) == room]) for room in sorted({len(x) for x in self.texts.values()}, reverse=True)]
-        self.made: dict[tuple[str, int, bool], list[zstandard.ZstdCompressor]] = {}
+        self.made: dict[tuple[str, int], zstandard.ZstdCompressor] = {}
 
-    def _coders(self, name: str, room: int, short: bool) -> list[zstandard.ZstdCompressor]:
-        def coder(data: bytes) -> zstandard.ZstdCompressor:
+    def _coder(self, name: str, room: int) -> zstandard.ZstdCompressor:
+        found = self.made.get((name, room))
+        if found is None:
+            data = self.texts[name][:room]
             log = max(10, min(16, len(data).bit_length()))
             setting = zstandard.ZstdCompressionParameters(window_log=log + 1, chain_log=log, hash_log=log, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=setting)
-            return zstandard.ZstdCompressor(compression_params=setting, dict_data=d)
-
-        found = self.made.get((name, room, short))
-        if found is None:
-            data = self.texts[name][:room]
-            step = max(1, -(-len(data) // PARTS)) if short else len(data)
-            found = self.made[name, room, short] = [coder(data[i : i + step]) for i in range(0, len(data), step)]
+            found = self.made[name, room] = zstandard.ZstdCompressor(compression_params=setting, dict_data=d)
         return found
 
     def sizes(self, text: str) -> list[float]:
-        """Encoded bytes of a text for each of `names`, those of smaller dictionaries in proportion to the equal slice."""
+        """Encoded bytes of a text for each of `names`, those of smaller dictionaries in proportion to the equal slice.
+
+        Each block is written twice: the copy costs little, but without it the encoder would keep short texts as they are,
+        whatever the dictionary.
+        """
         data = plain(text).encode("utf-8", "surrogatepass")
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        blocks = [data[i : i + BLOCK] * 2 for i in range(0, len(data), BLOCK)]
 
         def size(name: str, room: int) -> float:
-            coders = self._coders(name, room, len(data) < SHORT)
-            return sum(len(c.compress(b)) for c in coders for b in blocks) / len(coders)
+            c = self._coder(name, room)
+            return float(sum(len(c.compress(b)) for b in blocks))
 
         got: dict[str, float] = {}
         best, top = "", self.levels[0][0] if self.levels else 0
@@ -133,7 +132,7 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", key:
     return LanguageModel({name: x for name, x in texts.items() if x.strip()}, counts)
 
 
-def decide(names: list[str], got: list[float], n_bytes: int, letters: bool) -> tuple[str, float, float, bool]:
+def decide(names: list[str], got: list[float], letters: bool) -> tuple[str, float, float, bool]:
     """(language, score, margin, rejected) from the encoded sizes."""
     if not letters or not names:
         return UNKNOWN, 0.0, 0.0, True
@@ -141,17 +140,18 @@ def decide(names: list[str], got: list[float], n_bytes: int, letters: bool) -> t
     best = got[order[0]]
     score = 1.0 / sum(math.exp(-min(700.0, 0.5 * (x - best))) for x in got)
     margin = (got[order[1]] - best) / got[order[1]] if len(names) > 1 else 1.0
-    return names[order[0]], score, margin, n_bytes >= MARGIN_BYTES and margin < MIN_MARGIN
+    return names[order[0]], score, margin, margin < MIN_MARGIN
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), flags_as: str = "") -> DataFrame:
     """The columns of `keep`, lang_pred, score, margin and rejected for each row, over the whole text.
 
     A null or empty text, or one without a letter, is `und` with score 0 and rejected, as is every text under a model of no
-    language. A text of MARGIN_BYTES or more whose margin is below MIN_MARGIN keeps its best language but is rejected.
+    language. A text of whatever length whose margin is below MIN_MARGIN keeps its best language but is rejected.
     A language of little training text is compared with equal slices of the others and must win clearly.
-    Equal sizes go to the language with more training rows. Repeated rows get equal results. `flags_as` goes before
-    the new columns' names, for tables that have such columns.
+    Equal sizes go to the language with more training rows. Repeated rows get equal results. Very long texts are encoded
+    block by block to their end. `flags_as` goes before the new columns' names, for tables that have such columns. An empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("__text"))
@@ -166,8 +166,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
             got = []
             for t in batch.column("__text"):
                 s = t.as_py() or ""
-                letters = bool(_LETTER.search(s))
-                got.append(decide(names, coders.sizes(s) if letters else [], len(s), letters))
+                letters = has_letter(s)
+                got.append(decide(names, coders.sizes(s) if letters else [], letters))
             cols = list(zip(*got, strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*keep, *new])

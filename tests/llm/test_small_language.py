@@ -29,7 +29,7 @@ def test_middling_language_is_found_by_equal_slices(spark):
     coders = language_id.LanguageModel(texts, {"en": 20, "cy": 1}).coders()
     for text, lang in ((prose(77, 200), "en"), (prose(77, 200).translate(third), "cy")):
         got = coders.sizes(text)
-        assert language_id.decide(coders.names, got, len(text), True)[0] == lang and not language_id.decide(coders.names, got, len(text), True)[3]
+        assert language_id.decide(coders.names, got, True)[0] == lang and not language_id.decide(coders.names, got, True)[3]
 
 
 def test_pieces_come_from_the_whole_text(spark):

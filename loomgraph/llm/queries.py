@@ -86,20 +86,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go: those without a letter and long ones of a narrow margin."""
+    """Documents whose language is rejected go: those without a letter, null and empty texts among them, and those of a narrow margin.
+
+    Labels are read where lang is not null; with no labelled row all documents go. Equal texts stay or go together, ties are
+    narrow margins. Very long texts are judged whole. An empty table stays empty.
+    """
     ship(spark)
     judged = language_id.identify(docs, _languages(docs), keep=tuple(docs.columns), flags_as="__")
     return judged.where("NOT __rejected").select(*docs.columns)
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated passages go, and with them documents that had nothing else."""
+    """Later occurrences of repeated passages go, and with them documents that had nothing else.
+
+    Null texts stay as they are, as do texts that were empty before; rows of one key and text are one document and keep their
+    lines alike. Of equal lines the one of the least (key, text hash, position) stays. An empty table stays empty.
+    """
     cleaned = line_dedup.dedup_lines(docs, removed="__removed", over_words=PASSAGE_WORDS)
     return cleaned.where("__removed = 0 OR text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays; of its repeated rows one."""
+    """Of each group of near duplicates the document with the least doc_id stays; of its repeated rows one.
+
+    Null and empty texts, and those of white space, are groups of their own and stay. Rows of one doc_id with several texts
+    stay or go by key. Null keys stay if no row of their group has a key. An empty table stays empty.
+    """
     ship(spark)
     groups = ngram_join.shingle_groups(docs)
     stay = groups.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key"))
@@ -109,12 +121,15 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a long enough stretch with a benchmark item go."""
+    """Documents that share a long enough stretch with a benchmark item go.
+
+    Null and empty texts share nothing and stay, repeated rows stay or go together; an empty table or benchmark changes nothing.
+    """
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed."""
+    """What is left, packed: null and empty texts as a single end token, repeated rows as documents of their own; an empty table gives no piece."""
     ship(spark)
     return packing.pack(docs).withColumnRenamed("key", "doc_id")
 

@@ -32,7 +32,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     """Key, size in bytes (of the UTF-8 text plus 8), crc32 of the text, shard, slot in the shard and, if `grown` is given, the shard under that law.
 
     A null text has size 8 and the crc32 of no bytes. A null key is one key; repeated rows share a shard and take a slot
-    each. Slots run gapless from 0 in each shard. An empty table gives no rows; other columns are ignored.
+    each. Slots run gapless from 0 in each shard. Very long texts count by their whole length. An empty table gives no rows;
+    other columns are ignored.
     """
     weights = [1.0] * shards if isinstance(shards, int) else list(shards)
     body = F.coalesce(F.col(text), F.lit(""))

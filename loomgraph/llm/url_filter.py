@@ -98,7 +98,7 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     """Key, host, path, rule and verdict of each url; rule is null and the verdict `default` where none fits.
 
     A null url, or one without "://", has an empty host and path, which no rule with a host fits. Repeated rows are judged
-    alike, an empty table gives no rows, other columns are ignored.
+    alike, an empty table gives no rows, other columns are ignored, very long urls are read whole.
     """
     parts = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = (_by_trie if len(rules) <= trie_rules else _by_join)(parts, list(rules))

@@ -28,7 +28,7 @@ WIDTH = 5
 PERCENT = 75
 #: Documents of one task's chunk that a shingle is in to be reported as frequent, and the frequent shingles that the order
 #: knows at most, the most frequent first. They only shape the order, so no link depends on them.
-LOCAL_FREQUENT = 3
+LOCAL_FREQUENT = 2
 FREQUENT = 500_000
 CHUNK_SHINGLES = 2_000_000
 #: Fragments of each half (rare, frequent) of the order.
@@ -36,7 +36,7 @@ FRAGMENTS = 4
 #: Parts that a frequent shingle's rows are dealt to.
 SALTS = 64
 #: Groups in a list from which on its sets are ordered by exact counts.
-CROWD = 8
+CROWD = 64
 
 
 def _sets(texts, width: int) -> Iterator[np.ndarray]:

@@ -16,7 +16,7 @@ def _check(spark, docs):
     assert got == {k: (len(s), want[k]) for k, s in sets.items()}
 
 
-@pytest.mark.parametrize("crowd", [2, 8, 10**9])
+@pytest.mark.parametrize("crowd", [2, 64, 10**9])
 def test_passages_of_many_documents(spark, monkeypatch, crowd):
     """Documents of their own words around passages that others have too, near copies of some, and documents of passages only."""
     monkeypatch.setattr(ngram_join, "CROWD", crowd)

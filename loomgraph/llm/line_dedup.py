@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import BROADCAST_ROWS, written
+
 LINES = 3
+#: Covered lines that may be broadcast in all.
+BROADCAST_LINES = 2_000_000
 
 
 def _windows(lines: Column, words: Column, over_words: int | None) -> Column:
@@ -61,11 +65,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     row with an empty text. Repeated rows of one key and text share a result. All other columns stay; a column of docs
     named as `removed` is replaced. Without `over_words`, a passage of one or two lines in a document of three or more is
     found only with its neighbouring lines; with it, also alone if it holds more words (runs without white space) than that.
+    A very long text is one row of arrays of its lines and windows. An empty table gives no rows.
     """
-    cover = covered_lines(docs, key, text, over_words).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"))
+    cover = written(covered_lines(docs, key, text, over_words).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered")), "covered")
+    n, lines = cover.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__covered")), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and lines <= BROADCAST_LINES:
+        cover = F.broadcast(cover)
     same = F.xxhash64(F.col(text)).eqNullSafe(F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))
     changed = F.col("__covered").isNotNull()
-    both = docs.join(cover.hint("shuffle_hash"), same, "left").withColumn("__lines", F.when(changed, F.split(F.col(text), "\n", -1)))
+    both = docs.join(cover, same, "left").withColumn("__lines", F.when(changed, F.split(F.col(text), "\n", -1)))
     lines = F.col("__lines")
     there = F.sequence(F.lit(0), F.size(lines) - 1)
     gone = F.array_intersect(there, F.col("__covered"))

@@ -141,6 +141,34 @@ def references(files: DataFrame) -> DataFrame:
     return lines(files).select("repo_id", "path", "line", F.inline(F.concat(*[match(*r) for r in REFERENCES]).cast(kind)))
 
 
+def repository_of(target: Column) -> Column:
+    """The repository's name in a reference: the last part of a git source, image, action, chart or path, without scheme, query, version and .git."""
+    bare = F.regexp_replace(target, r"^(?:git::)?(?:[a-z+]+://)?|[?].*$", "")
+    last = F.element_at(F.split(F.regexp_replace(bare, r"//.*$|/+$", ""), "/"), -1)
+    return F.regexp_replace(last, r"(?:[.]git)?(?:[@:][^/]*)?$", "")
+
+
+def deployable_units(files: DataFrame) -> DataFrame:
+    """(repo_id, path, unit) of Dockerfiles: the name of the folder they are in, of one at the top the repository's, of Dockerfile.NAME that name."""
+    own = files.where(F.col("language") == "dockerfile")
+    parts = F.split("path", "/")
+    suffix = F.nullif(F.regexp_extract(F.element_at(parts, -1), r"^Dockerfile[.](.+)$", 1), F.lit(""))
+    folder = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.regexp_replace("repo_id", "^.*[:/]", ""))
+    return own.select("repo_id", "path", F.coalesce(suffix, folder).alias("unit"))
+
+
+def metaclasses(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, class, metaclass) of Python classes that name a metaclass."""
+    found = lines(files).where("language = 'python'").withColumns({"class": F.regexp_extract("text", r"^\s*class\s+(\w+)\s*\(", 1), "metaclass": F.regexp_extract("text", r"\bmetaclass\s*=\s*([\w.]+)", 1)})
+    return found.where("class <> '' AND metaclass <> ''").select("repo_id", "path", "line", "class", "metaclass")
+
+
+def decorators(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, decorator) of decorators and annotations, without arguments, in lower case."""
+    found = lines(files).withColumn("decorator", F.lower(F.regexp_extract("text", r"^\s*@([\w.]+)", 1)))
+    return found.where("decorator <> ''").select("repo_id", "path", "line", "decorator")
+
+
 def reachability(files: DataFrame) -> DataFrame:
     """(family, name, repo_id, reachability, confidence) of Terraform modules, Helm charts and Ansible roles.
 
@@ -163,6 +191,7 @@ def reachability(files: DataFrame) -> DataFrame:
     return both.select("family", "name", "repo_id", level.alias("reachability"), confidence.alias("confidence"))
 
 
+# Fixed value: the fields of a dbt manifest that are read.
 MANIFEST = "nodes map<string, struct<name: string, resource_type: string, relation_name: string, depends_on: struct<nodes: array<string>>, columns: map<string, struct<name: string>>, compiled_code: string>>"
 
 

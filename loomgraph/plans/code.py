@@ -16,8 +16,8 @@ SEEDS = ("part:1", "part:2", "part:3")
 
 
 def _seeds(t: Tables, ids=SEEDS) -> DataFrame:
-    """The three ids; of whole tables the search set, every hundredth id of the part table."""
-    if t.whole:
+    """The three ids, or the search set: every hundredth id of the part table."""
+    if t.search_set:
         return t.part.where("p_partkey % 100 = 0").select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
     return t.spark.createDataFrame([(x, x) for x in ids], "seed string, node string")
 
@@ -34,7 +34,7 @@ SEARCH_SET_SQL = "SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0 FROM part
 
 
 def _from_search_set(sql: str) -> str:
-    return sql.replace(SEED_SQL, SEARCH_SET_SQL).replace("r.depth < 3", "r.depth < 5")
+    return sql.replace(SEED_SQL, SEARCH_SET_SQL)
 
 
 
@@ -74,7 +74,7 @@ def direct_callees(t: Tables) -> DataFrame:
     return S.calls(t).groupBy(F.col("src").alias("caller")).agg(F.count(F.lit(1)).alias("callees"), F.min("dst").alias("first_callee"))
 
 
-@R.add(f"WITH {S.EDGES} SELECT src AS node, dst AS other, type, 'outgoing' AS direction FROM edges UNION ALL SELECT dst, src, type, 'incoming' FROM edges", whole=True)
+@R.add(f"WITH {S.EDGES} SELECT src AS node, dst AS other, type, 'outgoing' AS direction FROM edges UNION ALL SELECT dst, src, type, 'incoming' FROM edges")
 def edges_in_out(t: Tables) -> DataFrame:
     """Edges of every node in both directions."""
     e = S.edges(t)
@@ -82,19 +82,19 @@ def edges_in_out(t: Tables) -> DataFrame:
     return out.unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "type", F.lit("incoming").alias("direction")))
 
 
-@R.add(bfs_sql(S.MAIN_CALLS, "(SELECT dst AS src, src AS dst FROM main_calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", whole=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "(SELECT dst AS src, src AS dst FROM calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", search_set=_from_search_set)
 def transitive_callers(t: Tables) -> DataFrame:
     """Who reaches the seeds by calls, with the least depth, up to five."""
-    return bounded_bfs(_seeds(t), reversed_edges(S.main_calls(t)), 5).where("depth > 0")
+    return bounded_bfs(_seeds(t), reversed_edges(S.calls(t)), 5).where("depth > 0")
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 3) + " SELECT seed, node, depth FROM best WHERE depth > 0", whole=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", search_set=_from_search_set)
 def transitive_callees(t: Tables) -> DataFrame:
-    """What the seeds reach over all calls, with the least depth, up to three; of whole tables up to five."""
-    return bounded_bfs(_seeds(t), S.calls(t), 5 if t.whole else 3).where("depth > 0")
+    """What the seeds reach over all calls, with the least depth, up to five."""
+    return bounded_bfs(_seeds(t), S.calls(t), 5).where("depth > 0")
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0", whole=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0", search_set=_from_search_set)
 def call_chain_shortest(t: Tables) -> DataFrame:
     """Length of the shortest call chain from each seed to the newest function. Of equal chains the least by ids is taken, where the reference lists them all."""
     paths = shortest_paths(_seeds(t), S.calls(t), 5).where("depth > 0")
@@ -102,28 +102,37 @@ def call_chain_shortest(t: Tables) -> DataFrame:
     return paths.join(F.broadcast(newest), F.col("node") == F.col("target")).select("seed", "target", F.col("depth").alias("hops"))
 
 
-@R.add(bfs_sql(S.MAIN_CALLS, "main_calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM main_calls GROUP BY dst HAVING count(*) >= 3)", whole=_from_search_set)
+@R.add()
+def call_chain_nodes(t: Tables) -> DataFrame:
+    """The shortest call chain from each of the search set to the newest function, node by node; of equal chains the least by ids."""
+    start = t.part.where("p_partkey % 100 = 0").select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
+    newest = t.part.agg(F.concat(F.lit("part:"), F.max("p_partkey").cast("string")).alias("target"))
+    paths = shortest_paths(start, S.calls(t), 5).where("depth > 0").join(F.broadcast(newest), F.col("node") == F.col("target"))
+    return paths.select("seed", "target", F.col("depth").alias("hops"), F.array_join("path", ">").alias("chain"))
+
+
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM calls GROUP BY dst HAVING count(*) >= 3)", search_set=_from_search_set)
 def reachable_pairs(t: Tables) -> DataFrame:
-    """Pairs of a start and a candidate end (a function that three or more call first) that a chain joins."""
-    calls = S.main_calls(t)
+    """Pairs of a start and a candidate end (a function that three or more call) that a chain joins."""
+    calls = S.calls(t)
     ends = calls.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("node")
     return bounded_bfs(_seeds(t), calls, 10).where("depth > 0").join(ends, "node", "left_semi").select("seed", F.col("node").alias("reached"), "depth")
 
 
-@R.add(f"WITH {S.MAIN_CALLS} SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey)", whole=True)
+@R.add(f"WITH {S.CALLS} SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM calls WHERE dst = 'part:' || p_partkey)")
 def dead_nodes_anti(t: Tables) -> DataFrame:
-    """Functions that nothing calls first. Of whole tables: that nothing calls."""
-    called = S.main_calls(t).select(F.col("dst").alias("id")).distinct()
+    """Functions that nothing calls."""
+    called = S.calls(t).select(F.col("dst").alias("id")).distinct()
     return t.part.withColumn("id", node_id("part", "p_partkey")).join(called, "id", "left_anti").select("p_partkey", "p_name")
 
 
 _POLICY_SQL = "CASE WHEN p_size >= 45 THEN 'entrypoint' WHEN p_name LIKE '%test%' OR p_name LIKE 'Test%' THEN 'test' WHEN p_type LIKE 'PROMO%' THEN 'generated' WHEN substr(p_brand, 1, 7) = 'Brand#5' THEN 'public_api' END"
 
 
-@R.add(f"WITH {S.MAIN_CALLS} SELECT coalesce({_POLICY_SQL}, 'dead') AS verdict, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey) GROUP BY 1", whole=True)
+@R.add(f"WITH {S.CALLS} SELECT coalesce({_POLICY_SQL}, 'dead') AS verdict, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM calls WHERE dst = 'part:' || p_partkey) GROUP BY 1")
 def dead_policy(t: Tables) -> DataFrame:
     """Uncalled functions by what excludes them: entry points, tests, generated code, public interface; else dead."""
-    called = S.main_calls(t).select(F.col("dst").alias("id")).distinct()
+    called = S.calls(t).select(F.col("dst").alias("id")).distinct()
     uncalled = t.part.withColumn("id", node_id("part", "p_partkey")).join(called, "id", "left_anti")
     reason = (
         F.when(F.col("p_size") >= 45, "entrypoint")
@@ -135,7 +144,7 @@ def dead_policy(t: Tables) -> DataFrame:
     return uncalled.groupBy(reason.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT n.id, n.label FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id)", whole=True)
+@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT n.id, n.label FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id)")
 def orphan_nodes(t: Tables) -> DataFrame:
     """Nodes without any edge."""
     e = S.edges(t)
@@ -173,7 +182,7 @@ def exact_candidates(t: Tables) -> DataFrame:
 
 
 @R.add(f"""WITH {S.NODES}, {S.EDGES} SELECT n.id, n.name, n.label, coalesce(string_agg(DISTINCT e.type || '>' || split_part(e.dst, ':', 1), ',' ORDER BY e.type || '>' || split_part(e.dst, ':', 1)), '') AS relations
-FROM nodes n LEFT JOIN edges e ON e.src = n.id WHERE n.label <> 'Function' GROUP BY ALL""", whole=True)
+FROM nodes n LEFT JOIN edges e ON e.src = n.id WHERE n.label <> 'Function' GROUP BY ALL""")
 def entity_context(t: Tables) -> DataFrame:
     """Each entity with its distinct kinds of outgoing relations."""
     e = S.edges(t).select("src", F.concat("type", F.lit(">"), F.substring_index("dst", ":", 1)).alias("relation"))
@@ -181,9 +190,9 @@ def entity_context(t: Tables) -> DataFrame:
     return n.join(e, n["id"] == e["src"], "left").groupBy("id", "name", "label").agg(sorted_set("relation").alias("relations"))
 
 
-@R.add(f"WITH {S.MAIN_CALLS}, dead AS (SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM main_calls WHERE dst = 'part:' || p_partkey)) SELECT p_partkey, p_name, (SELECT count(*) FROM dead) AS total, (SELECT count(*) FROM dead) > 125 AS truncated FROM dead ORDER BY p_name, p_partkey LIMIT 100 OFFSET 25")
+@R.add(f"WITH {S.CALLS}, dead AS (SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM calls WHERE dst = 'part:' || p_partkey)) SELECT p_partkey, p_name, (SELECT count(*) FROM dead) AS total, (SELECT count(*) FROM dead) > 125 AS truncated FROM dead ORDER BY p_name, p_partkey LIMIT 100 OFFSET 25")
 def dead_artifacts_paged(t: Tables) -> DataFrame:
-    """One page of dead functions, with the total and whether more follow. Whole tables give the page over all calls."""
+    """One page of dead functions, with the total and whether more follow."""
     return page(dead_nodes_anti(t), ["p_name", "p_partkey"], 25, 100).select("p_partkey", "p_name", "total", "truncated")
 
 
@@ -195,7 +204,7 @@ def infra_search(t: Tables) -> DataFrame:
     return t.part.where(anywhere & (F.col("p_size") >= 10)).select("p_partkey", "p_name", F.coalesce(F.nullif("p_type", F.lit("")), "p_brand").alias("resource_type"))
 
 
-@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT e.src, e.dst, e.type FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)", whole=True)
+@R.add(f"WITH {S.NODES}, {S.EDGES} SELECT e.src, e.dst, e.type FROM edges e WHERE e.src IN (SELECT id FROM nodes) AND e.dst IN (SELECT id FROM nodes)")
 def edges_endpoint_exists(t: Tables) -> DataFrame:
     """Edges both of whose ends are nodes."""
     ids = S.nodes(t).select("id")
@@ -219,7 +228,8 @@ def interval_narrowest(t: Tables) -> DataFrame:
     """The narrowest span of the same file that a line lies in; the earliest of equals."""
     spans = t.conversations.select("conv_id", F.col("turn").alias("start_turn"), (F.col("turn") + 1 + F.length("text") % 5).alias("end_turn"))
     lines = t.conversations.select("conv_id", "turn").distinct()
-    both = lines.join(spans, "conv_id").where("turn BETWEEN start_turn AND end_turn")
+    # Spans hold a few lines, so each goes to the lines it covers; no line meets the spans it lies outside of.
+    both = lines.join(spans.withColumn("turn", F.explode(F.sequence("start_turn", "end_turn"))), ["conv_id", "turn"])
     return pick(both, ["conv_id", "turn"], [F.col("end_turn") - F.col("start_turn"), "start_turn", "end_turn"]).select("conv_id", "turn", "start_turn", "end_turn")
 
 
@@ -264,12 +274,12 @@ def inheritance_edges(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("child"), F.min("p_partkey").over(w).alias("parent")).where("child <> parent")
 
 
-@R.add("SELECT a.s_suppkey AS service, b.s_suppkey AS deployment FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND length(a.s_name) = length(b.s_name) AND right(a.s_name, 1) = right(b.s_name, 1) AND a.s_suppkey < b.s_suppkey")
+@R.add("SELECT s_suppkey AS service, c_custkey AS deployment FROM supplier JOIN customer ON s_nationkey = c_nationkey AND split_part(s_name, '#', 2) = split_part(c_name, '#', 2)")
 def k8s_selects(t: Tables) -> DataFrame:
-    """SELECTS: services to deployments of the same namespace and name key."""
-    keyed = t.supplier.select("s_suppkey", "s_nationkey", F.length("s_name").alias("len"), F.right("s_name", F.lit(1)).alias("last"))
-    other = keyed.withColumnRenamed("s_suppkey", "deployment")
-    return keyed.join(other, ["s_nationkey", "len", "last"]).where("s_suppkey < deployment").select(F.col("s_suppkey").alias("service"), "deployment")
+    """SELECTS: services (suppliers) to deployments (customers) of the same namespace and name."""
+    services = t.supplier.select(F.col("s_suppkey").alias("service"), F.col("s_nationkey").alias("namespace"), F.split_part("s_name", F.lit("#"), F.lit(2)).alias("app"))
+    deployments = t.customer.select(F.col("c_custkey").alias("deployment"), F.col("c_nationkey").alias("namespace"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("app"))
+    return services.join(deployments, ["namespace", "app"]).select("service", "deployment")
 
 
 QUERIES, SQL = R.queries, R.sql

@@ -114,11 +114,18 @@ def hash_partition(t: Tables) -> DataFrame:
     return t.customer.groupBy(ids.hash_partition("c_name", 8).alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("SELECT source AS repo, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id || ':' || sha256(coalesce(text, '')))) AS snapshot, count(*) AS files FROM documents GROUP BY 1")
+@R.add("""WITH d AS (SELECT source AS repo, doc_id || ':' || sha256(coalesce(text, '')) AS one FROM documents), b AS (SELECT repo, substr(sha256(one), 1, 4) AS bucket, sha256(string_agg(one, chr(10) ORDER BY one)) AS digest, count(*) AS n FROM d GROUP BY 1, 2)
+SELECT repo, sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS snapshot, sum(n)::BIGINT AS files FROM b GROUP BY 1""")
 def snapshot_hash(t: Tables) -> DataFrame:
-    """A digest of each repository's files, equal as long as none changed; only digests are gathered, not texts."""
+    """A digest of each repository's files, equal as long as none changed.
+
+    Files are digested in 65,536 buckets by hash, then the buckets' digests in order, so no task gathers a repository.
+    """
     one = F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return t.documents.groupBy(F.col("source").alias("repo")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias("snapshot"), F.count(F.lit(1)).alias("files"))
+    each = t.documents.select(F.col("source").alias("repo"), one.alias("one")).withColumn("bucket", F.substring(F.sha2("one", 256), 1, 4))
+    digests = each.groupBy("repo", "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("one")), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"])
+    return digests.groupBy("repo").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("snapshot"), F.sum("n").alias("files"))
 
 
 @R.add("""SELECT CASE WHEN url LIKE '%utm_source%' THEN 'tracking' WHEN url LIKE '%spam%' OR url LIKE '%cheap%' THEN 'ignored_host' WHEN html IS NULL OR html = '' THEN 'empty' WHEN length(html) > 5000 THEN 'large' ELSE 'kept' END AS reason, count(*) AS files FROM pages GROUP BY 1""")

@@ -20,7 +20,7 @@ def _nation_seeds(t: Tables) -> DataFrame:
     return t.nation.select(node_id("repo", "n_nationkey").alias("seed"), node_id("repo", "n_nationkey").alias("node"))
 
 
-@R.add(bfs_sql(S.DEPENDS_ON, "(SELECT dst AS src, src AS dst FROM depends_on)", _NATION_SEEDS, 5) + " SELECT b.seed, b.node AS affected, b.depth AS hops, r_name AS tier FROM best b JOIN nation ON 'repo:' || n_nationkey = b.node LEFT JOIN region ON n_regionkey = r_regionkey WHERE b.depth > 0", whole=True)
+@R.add(bfs_sql(S.DEPENDS_ON, "(SELECT dst AS src, src AS dst FROM depends_on)", _NATION_SEEDS, 5) + " SELECT b.seed, b.node AS affected, b.depth AS hops, r_name AS tier FROM best b JOIN nation ON 'repo:' || n_nationkey = b.node LEFT JOIN region ON n_regionkey = r_regionkey WHERE b.depth > 0")
 def blast_radius_repository(t: Tables) -> DataFrame:
     """Repositories that depend on each repository, up to five hops, with the least number of hops and their tier.
 
@@ -37,7 +37,7 @@ homes AS (SELECT p_brand AS module, 'repo:' || s_nationkey AS repo, count(*) AS
 module_seeds AS (SELECT module, arg_max(repo, (n, repo)) AS repo FROM homes GROUP BY 1)"""
 
 
-@R.add(bfs_sql(_MODULE_CTES, "(SELECT dst AS src, src AS dst FROM depends_on)", "SELECT module, repo, 0 FROM module_seeds", 5) + " SELECT seed AS module, node AS repo, depth AS hops FROM best", whole=True)
+@R.add(bfs_sql(_MODULE_CTES, "(SELECT dst AS src, src AS dst FROM depends_on)", "SELECT module, repo, 0 FROM module_seeds", 5) + " SELECT seed AS module, node AS repo, depth AS hops FROM best")
 def blast_radius_module(t: Tables) -> DataFrame:
     """From each module (brand) to the repository that holds most of it (0 hops) and what depends on that."""
     homes = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("p_brand").alias("seed"), node_id("repo", "s_nationkey").alias("repo")).agg(F.count(F.lit(1)).alias("n"))
@@ -70,7 +70,7 @@ _TIER_SEEDS = "SELECT 'tier:' || r_regionkey, 'tier:' || r_regionkey, 0 FROM reg
 _SURFACE = S.EDGES + ", surface AS (SELECT src, dst FROM edges WHERE type IN ('CONTAINS', 'DEFINES', 'DEPENDS_ON'))"
 
 
-@R.add(bfs_sql(_SURFACE, "surface", _TIER_SEEDS, 8) + f", {S.NODES} SELECT b.seed, n.id, n.name, n.label, b.depth FROM best b JOIN nodes n ON n.id = b.node WHERE n.label IN ('Repository', 'Workload') AND b.depth > 0", whole=True)
+@R.add(bfs_sql(_SURFACE, "surface", _TIER_SEEDS, 8) + f", {S.NODES} SELECT b.seed, n.id, n.name, n.label, b.depth FROM best b JOIN nodes n ON n.id = b.node WHERE n.label IN ('Repository', 'Workload') AND b.depth > 0")
 def change_surface(t: Tables) -> DataFrame:
     """Repositories and workloads that a change of each tier reaches over edges of several types, with the least depth."""
     e = S.edges(t).where(F.col("type").isin("CONTAINS", "DEFINES", "DEPENDS_ON"))
@@ -83,13 +83,21 @@ def change_surface(t: Tables) -> DataFrame:
 @R.add(bfs_sql(S.EDGES + ", back AS (SELECT dst AS src, src AS dst FROM edges WHERE type IN ('USES', 'DEFINES'))", "back", "SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0 FROM part", 2) + " SELECT seed, count(*) FILTER (WHERE depth = 2) AS repositories, min(node) FILTER (WHERE depth = 2) AS first_repository FROM best GROUP BY seed")
 def resource_to_code(t: Tables) -> DataFrame:
     """From every resource back over its workloads to repositories: how many, and the first."""
-    back = S.edges(t).where(F.col("type").isin("USES", "DEFINES")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seeds = t.part.select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
-    reach = bounded_bfs(seeds, back, 2)
-    return reach.groupBy("seed").agg(F.count(F.when(F.col("depth") == 2, 1)).alias("repositories"), F.min(F.when(F.col("depth") == 2, F.col("node"))).alias("first_repository"))
+    homes = t.supplier.select(node_id("supp", "s_suppkey").alias("src"), node_id("repo", "s_nationkey").alias("repo"))
+    reached = S.uses(t).join(homes, "src").select(F.col("dst").alias("seed"), "repo").distinct()
+    counted = reached.groupBy("seed").agg(F.count(F.lit(1)).alias("repositories"), F.min("repo").alias("first_repository"))
+    return t.part.select(node_id("part", "p_partkey").alias("seed")).join(counted, "seed", "left").select("seed", F.coalesce("repositories", F.lit(0)).cast("long").alias("repositories"), "first_repository")
 
 
-@R.add(bfs_sql(S.DEPENDS_ON + ", both_ways AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on)", "both_ways", _NATION_SEEDS, 8) + " SELECT a.n_name AS source, b.n_name AS target, coalesce(best.depth, -1) AS depth FROM nation a CROSS JOIN nation b LEFT JOIN best ON best.seed = 'repo:' || a.n_nationkey AND best.node = 'repo:' || b.n_nationkey WHERE a.n_nationkey < b.n_nationkey", whole=True)
+@R.add("""SELECT 'part:' || l_partkey AS resource, 'repo:' || s_nationkey AS repo, 'supp:' || min(l_suppkey) AS workload, count(DISTINCT l_suppkey) AS workloads FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey, s_nationkey""")
+def resource_chain_hops(t: Tables) -> DataFrame:
+    """Each chain from a resource over a workload that uses it to a repository that defines that one: its hops, and how many such chains there are."""
+    used = t.lineitem.select("l_partkey", "l_suppkey").distinct().join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    chains = used.groupBy("l_partkey", "s_nationkey").agg(F.min("l_suppkey").alias("first"), F.count(F.lit(1)).alias("workloads"))
+    return chains.select(node_id("part", "l_partkey").alias("resource"), node_id("repo", "s_nationkey").alias("repo"), node_id("supp", "first").alias("workload"), "workloads")
+
+
+@R.add(bfs_sql(S.DEPENDS_ON + ", both_ways AS (SELECT src, dst FROM depends_on UNION SELECT dst, src FROM depends_on)", "both_ways", _NATION_SEEDS, 8) + " SELECT a.n_name AS source, b.n_name AS target, coalesce(best.depth, -1) AS depth FROM nation a CROSS JOIN nation b LEFT JOIN best ON best.seed = 'repo:' || a.n_nationkey AND best.node = 'repo:' || b.n_nationkey WHERE a.n_nationkey < b.n_nationkey")
 def dependency_path(t: Tables) -> DataFrame:
     """Shortest undirected dependency path between any two repositories, -1 where there is none.
 
@@ -148,4 +156,21 @@ def workload_context(t: Tables) -> DataFrame:
     return used.join(homes, F.col("l_suppkey") == F.col("s_suppkey")).select(node_id("supp", "l_suppkey").alias("workload"), F.col("n_name").alias("repo"), F.col("r_name").alias("tier"), "environments", "files")
 
 
+@R.add()
+def dependency_path_hops(t: Tables) -> DataFrame:
+    """The hops of the shortest dependency path between any two repositories: from, to, direction, and the share of the dependant's order lines that the dependency stands on.
+
+    Of equal paths the least by ids. A hop that holds both ways counts as outgoing.
+    """
+    d = S.depends_on(t)
+    share = d.join(d.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("confidence"))
+    paths = shortest_paths(_nation_seeds(t), undirected(d.select("src", "dst")).select("src", "dst"), 8).where("depth > 0")
+    hop = F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.struct(i.alias("hop"), F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b"))))
+    each = paths.select(F.col("seed").alias("source"), F.col("node").alias("target"), hop.alias("h")).select("source", "target", "h.hop", "h.a", "h.b")
+    out = share.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("confidence").alias("there"))
+    back = share.select(F.col("src").alias("b"), F.col("dst").alias("a"), F.col("confidence").alias("back"))
+    both = each.join(out, ["a", "b"], "left").join(back, ["a", "b"], "left")
+    return both.select("source", "target", "hop", F.col("a").alias("from"), F.col("b").alias("to"), F.when(F.col("there").isNotNull(), "outgoing").otherwise("incoming").alias("direction"), F.round(F.coalesce("there", "back"), 9).alias("confidence"))
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import Tables, whole_sql
+from ..sources.tables import Tables
 
 
 class Registry:
@@ -14,17 +14,17 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None, name: str | None = None, whole: bool | Callable[[str], str] = False):
-        """Registers a function of Tables under its own name; with `whole` also as NAME_whole, over all calls and dependencies; a function makes further changes to that query's SQL."""
+    def add(self, sql: str | None = None, name: str | None = None, search_set: Callable[[str], str] | None = None):
+        """Registers a function of Tables under its own name; with `search_set`, which gives that query's SQL, also as NAME_whole, from every hundredth id."""
 
         def register(f: Callable[[Tables], DataFrame]):
             key = name or f.__name__
             self.queries[key] = lambda spark, folder: f(Tables(spark, folder))
             if sql:
                 self.sql[key] = sql
-            if whole:
-                self.queries[f"{key}_whole"] = lambda spark, folder: f(Tables(spark, folder, whole=True))
-                self.sql[f"{key}_whole"] = whole_sql(whole(sql) if callable(whole) else sql)
+            if search_set and sql:
+                self.queries[f"{key}_whole"] = lambda spark, folder: f(Tables(spark, folder, search_set=True))
+                self.sql[f"{key}_whole"] = search_set(sql)
             return f
 
         return register

@@ -92,25 +92,25 @@ def coverage_gaps(t: Tables) -> DataFrame:
     return both.select("repo", "graph", "content", F.greatest(F.col("graph") - F.col("content"), zero).alias("content_gap"), F.greatest(F.col("content") - F.col("graph"), zero).alias("graph_gap"), "state")
 
 
-@R.add(f"WITH {S.DEPENDS_ON} SELECT src AS repo, count(DISTINCT dst) AS dependencies, string_agg(DISTINCT dst, ',' ORDER BY dst) AS names FROM dep_counts GROUP BY 1")
+@R.add(f"WITH {S.DEPENDS_ON} SELECT src AS repo, count(DISTINCT dst) AS dependencies, string_agg(DISTINCT dst, ',' ORDER BY dst) AS names FROM depends_on GROUP BY 1")
 def repo_dependencies(t: Tables) -> DataFrame:
-    return _dep_counts(t).groupBy(F.col("src").alias("repo")).agg(F.count_distinct("dst").alias("dependencies"), sorted_set("dst").alias("names"))
+    return _depends_on(t).groupBy(F.col("src").alias("repo")).agg(F.count_distinct("dst").alias("dependencies"), sorted_set("dst").alias("names"))
 
 
-@R.add(f"WITH {S.DEPENDS_ON} SELECT dst AS repo, count(*) AS consumers, sum(n)::BIGINT AS mentions FROM depends_on GROUP BY 1", whole=True)
+@R.add(f"WITH {S.DEPENDS_ON} SELECT dst AS repo, count(*) AS consumers, sum(n)::BIGINT AS mentions FROM depends_on GROUP BY 1")
 def repo_consumers(t: Tables) -> DataFrame:
     return S.depends_on(t).groupBy(F.col("dst").alias("repo")).agg(F.count(F.lit(1)).alias("consumers"), F.sum("n").alias("mentions"))
 
 
-def _dep_counts(t: Tables) -> DataFrame:
+def _depends_on(t: Tables) -> DataFrame:
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return lines.where("c_nationkey <> s_nationkey").groupBy(node_id("repo", "c_nationkey").alias("src"), node_id("repo", "s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(f"WITH {S.DEPENDS_ON} SELECT src, dst, n AS evidence FROM dep_counts")
+@R.add(f"WITH {S.DEPENDS_ON} SELECT src, dst, n AS evidence FROM depends_on")
 def dependency_edges(t: Tables) -> DataFrame:
     """DEPENDS_ON rows between repositories, first-wins deduplicated, with the lines that speak for them."""
-    return _dep_counts(t).withColumnRenamed("n", "evidence")
+    return _depends_on(t).withColumnRenamed("n", "evidence")
 
 
 @R.add("""WITH one AS (SELECT s_nationkey AS k, min(s_suppkey) AS w FROM supplier GROUP BY 1 HAVING count(*) = (SELECT min(n) FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey)))
@@ -125,7 +125,7 @@ def unique_endpoint_edges(t: Tables) -> DataFrame:
     return pairs.join(a, F.col("c_nationkey") == F.col("ka")).join(b, F.col("s_nationkey") == F.col("kb")).where("source <> target").select("source", "target").distinct()
 
 
-@R.add(f"WITH {S.DEPENDS_ON}, names AS (SELECT 'repo:' || n_nationkey AS id, n_name FROM nation) SELECT d.src AS repo, 'outgoing' AS direction, d.dst AS other, n.n_name AS other_name FROM depends_on d LEFT JOIN names n ON n.id = d.dst UNION ALL SELECT d.dst, 'incoming', d.src, n.n_name FROM depends_on d LEFT JOIN names n ON n.id = d.src", whole=True)
+@R.add(f"WITH {S.DEPENDS_ON}, names AS (SELECT 'repo:' || n_nationkey AS id, n_name FROM nation) SELECT d.src AS repo, 'outgoing' AS direction, d.dst AS other, n.n_name AS other_name FROM depends_on d LEFT JOIN names n ON n.id = d.dst UNION ALL SELECT d.dst, 'incoming', d.src, n.n_name FROM depends_on d LEFT JOIN names n ON n.id = d.src")
 def relationships_in_out(t: Tables) -> DataFrame:
     """Relationships of each repository in both directions, with the other's name looked up once."""
     d = S.depends_on(t)
@@ -134,7 +134,7 @@ def relationships_in_out(t: Tables) -> DataFrame:
     return both.join(F.broadcast(names), "other", "left").select("repo", "direction", "other", "other_name")
 
 
-@R.add(f"WITH {S.DEPENDS_ON} SELECT 'resolved_' || substr(sha1(concat_ws(chr(10), src, dst)), 1, 16) AS resolved_id, s.n_name AS source_name, t.n_name AS target_name, n AS evidence_count FROM depends_on JOIN nation s ON 'repo:' || s.n_nationkey = src JOIN nation t ON 'repo:' || t.n_nationkey = dst", whole=True)
+@R.add(f"WITH {S.DEPENDS_ON} SELECT 'resolved_' || substr(sha1(concat_ws(chr(10), src, dst)), 1, 16) AS resolved_id, s.n_name AS source_name, t.n_name AS target_name, n AS evidence_count FROM depends_on JOIN nation s ON 'repo:' || s.n_nationkey = src JOIN nation t ON 'repo:' || t.n_nationkey = dst")
 def evidence_drilldown(t: Tables) -> DataFrame:
     """Resolved relationships with digest ids and the names of both ends."""
     names = t.nation.select(node_id("repo", "n_nationkey").alias("id"), "n_name")
@@ -159,7 +159,7 @@ def family_overview(t: Tables) -> DataFrame:
     return t.part.groupBy(family.alias("family"), F.col("p_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add(f"WITH {S.EDGES} SELECT dst, count(*) AS n_edges, count(DISTINCT src) AS sources, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM edges WHERE type IN ('DEPENDS_ON', 'USES', 'DEFINES') GROUP BY dst", whole=True)
+@R.add(f"WITH {S.EDGES} SELECT dst, count(*) AS n_edges, count(DISTINCT src) AS sources, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM edges WHERE type IN ('DEPENDS_ON', 'USES', 'DEFINES') GROUP BY dst")
 def provisioning_candidates(t: Tables) -> DataFrame:
     """Incoming edges of a few types by target, with their sorted distinct types."""
     e = S.edges(t).where(F.col("type").isin("DEPENDS_ON", "USES", "DEFINES"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Folders and endings that a scan leaves out.
 IGNORED_FOLDERS = (".git", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", ".terraform")
+#: Hidden folders and files of a repository's root that are read all the same.
+HIDDEN_KEPT = (".github", ".circleci", ".gitlab-ci.yml")
 IGNORED_ENDINGS = (".png", ".jpg", ".gif", ".zip", ".gz", ".jar", ".class", ".pyc", ".so", ".exe", ".pdf", ".woff", ".lock")
 
 # Language by file name and by ending; names come before endings, longer endings before shorter.
@@ -36,14 +38,24 @@ def skip_reason(path: str, globs: tuple[str, ...] = ()) -> Column:
     return (
         F.when(F.arrays_overlap(parts, F.array(*map(F.lit, IGNORED_FOLDERS))), "folder")
         .when(F.exists(F.array(*map(F.lit, IGNORED_ENDINGS)), lambda e: F.endswith(F.col(path), e)), "ending")
-        .when(F.exists(parts, lambda p: F.startswith(p, F.lit(".")) & (F.length(p) > 1)), "hidden")
+        .when(~F.element_at(parts, 1).isin(*HIDDEN_KEPT) & F.exists(parts, lambda p: F.startswith(p, F.lit(".")) & (F.length(p) > 1)), "hidden")
         .when(by_glob, "glob")
     )
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def scan(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """(repo_id, path, content, language, skip) of all files under root, read by Spark as whole texts; path is relative. Spark leaves out hidden folders itself."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
+    """(repo_id, path, content, language, skip) of all files under root, read by Spark as whole texts; path is relative.
+
+    Spark leaves out hidden folders itself, so those of HIDDEN_KEPT are named beside the root.
+    """
+    top = root.rstrip("/")
+    paths = [root, *(f"{top}/{h}" for h in HIDDEN_KEPT if _there(spark, f"{top}/{h}"))]
+    files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("content"))
     relative = F.regexp_replace(F.col("full"), "^.*?" + root.rstrip("/").replace(".", "[.]") + "/", "")
     named = files.select(F.lit(repo_id).alias("repo_id"), relative.alias("path"), "content")
     return named.select("*", language_of("path").alias("language"), skip_reason("path").alias("skip"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 class Tables:
-    """Tables of one folder, read as they are asked for: tables.part, tables.lineitem, ... With `whole`, the relations below are without top-k."""
+    """Tables of one folder, read as they are asked for: tables.part, tables.lineitem, ... With `search_set`, searches start from every hundredth id, not from a few."""
 
-    def __init__(self, spark: SparkSession, folder: str, whole: bool = False):
-        self.spark, self.folder, self.whole = spark, folder, whole
+    def __init__(self, spark: SparkSession, folder: str, search_set: bool = False):
+        self.spark, self.folder, self.search_set = spark, folder, search_set
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -30,33 +30,15 @@ def calls(t: Tables) -> DataFrame:
     return pairs.where("dst IS NOT NULL AND src <> dst").distinct()
 
 
-def call_counts(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    pairs = t.lineitem.select(node_id("part", "l_partkey").alias("src"), F.lead(node_id("part", "l_partkey")).over(w).alias("dst"))
-    return pairs.where("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-
-
-def main_calls(t: Tables) -> DataFrame:
-    """The most frequent call of each part, the first by name of equals: a sparse call graph with long chains. Of whole tables: all calls."""
-    if t.whole:
-        return calls(t)
-    w = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return call_counts(t).withColumn("k", F.row_number().over(w)).where("k = 1").select("src", "dst")
-
-
 def depends_on(t: Tables) -> DataFrame:
-    """DEPENDS_ON: a nation to the two foreign nations whose suppliers most of its customers' order lines come from. Of whole tables: to all of them."""
+    """DEPENDS_ON: a nation to the foreign nations whose suppliers its customers' order lines come from, with their number."""
     lines = (
         t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .where("c_nationkey <> s_nationkey")
     )
-    counted = lines.groupBy(node_id("repo", "c_nationkey").alias("src"), node_id("repo", "s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    if t.whole:
-        return counted
-    w = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return counted.withColumn("k", F.row_number().over(w)).where("k <= 2").select("src", "dst", "n")
+    return lines.groupBy(node_id("repo", "c_nationkey").alias("src"), node_id("repo", "s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def uses(t: Tables) -> DataFrame:
@@ -76,28 +58,23 @@ def nodes(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    """(src, dst, type) over all nodes: CONTAINS, DEFINES, DEPENDS_ON, USES and the main CALLS (of whole tables: all)."""
+    """(src, dst, type) over all nodes: CONTAINS, DEFINES, DEPENDS_ON, USES and CALLS."""
     return (
         t.nation.select(node_id("tier", "n_regionkey").alias("src"), node_id("repo", "n_nationkey").alias("dst"), F.lit("CONTAINS").alias("type"))
         .unionByName(t.supplier.select(node_id("repo", "s_nationkey").alias("src"), node_id("supp", "s_suppkey").alias("dst"), F.lit("DEFINES").alias("type")))
         .unionByName(depends_on(t).select("src", "dst", F.lit("DEPENDS_ON").alias("type")))
         .unionByName(uses(t).select("src", "dst", F.lit("USES").alias("type")))
-        .unionByName(main_calls(t).select("src", "dst", F.lit("CALLS").alias("type")))
+        .unionByName(calls(t).select("src", "dst", F.lit("CALLS").alias("type")))
     )
 
 
 # SQL twins, as common table expressions.
 _LEAD = "SELECT 'part:' || l_partkey AS src, 'part:' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS dst FROM lineitem"
 CALLS = f"calls AS (SELECT DISTINCT src, dst FROM ({_LEAD}) WHERE dst IS NOT NULL AND src <> dst)"
-MAIN_CALLS = (
-    f"call_counts AS (SELECT src, dst, count(*) AS n FROM ({_LEAD}) WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst),\n"
-    "main_calls AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM call_counts) WHERE k = 1)"
-)
-DEPENDS_ON = """dep_counts AS (
+DEPENDS_ON = """depends_on AS (
   SELECT 'repo:' || c_nationkey AS src, 'repo:' || s_nationkey AS dst, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-depends_on AS (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM dep_counts) WHERE k <= 2)"""
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"""
 USES = "uses AS (SELECT DISTINCT 'supp:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem)"
 NODES = """nodes AS (
   SELECT 'tier:' || r_regionkey AS id, 'Tier' AS label, r_name AS name, NULL::VARCHAR AS repo FROM region
@@ -106,15 +83,11 @@ NODES = """nodes AS (
   UNION ALL SELECT 'part:' || p_partkey, 'Function', p_name, NULL FROM part)"""
 EDGES = f"""{DEPENDS_ON},
 {USES},
-{MAIN_CALLS},
+{CALLS},
 edges AS (
   SELECT 'tier:' || n_regionkey AS src, 'repo:' || n_nationkey AS dst, 'CONTAINS' AS type FROM nation
   UNION ALL SELECT 'repo:' || s_nationkey, 'supp:' || s_suppkey, 'DEFINES' FROM supplier
   UNION ALL SELECT src, dst, 'DEPENDS_ON' FROM depends_on
   UNION ALL SELECT src, dst, 'USES' FROM uses
-  UNION ALL SELECT src, dst, 'CALLS' FROM main_calls)"""
-
+  UNION ALL SELECT src, dst, 'CALLS' FROM calls)"""
 
-def whole_sql(sql: str) -> str:
-    """The SQL twin of a query over whole tables."""
-    return sql.replace(MAIN_CALLS, f"{CALLS},\nmain_calls AS (SELECT src, dst FROM calls)").replace(DEPENDS_ON, DEPENDS_ON.rpartition("\ndepends_on AS")[0] + "\ndepends_on AS (SELECT src, dst, n FROM dep_counts)")

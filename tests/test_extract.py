@@ -35,7 +35,7 @@ def tree(spark, tmp_path_factory):
 
 def test_scan(tree):
     rows = {r["path"]: r for r in tree.collect()}
-    assert set(rows) >= set(FILES) - {".github/workflows/ci.yml"}
+    assert set(rows) >= set(FILES) and rows[".github/workflows/ci.yml"]["skip"] is None
     assert rows["node_modules/x.js"]["skip"] == "folder" and rows["app/main.py"]["skip"] is None
     assert (rows["Dockerfile"]["language"], rows["cmd/main.go"]["language"], rows["web/a.ts"]["language"]) == ("dockerfile", "go", "typescript")
     ids = {r["fact_id"] for r in S.facts(tree).collect()}
@@ -83,3 +83,23 @@ def test_lineage(tree):
 def test_json_documents(tree):
     assert {(r["route"], r["method"], r["operation_id"]) for r in extract.api_endpoints(tree).collect()} == {("/users", "get", "list"), ("/users/{id}", "delete", None)}
     assert {(r["src"], r["type"], r["dst"]) for r in extract.asset_relationships(tree).collect()} == {("d1", "POWERS", "a"), ("d1", "POWERS", "b"), ("o", "OWNS", "a")}
+
+
+def test_workflows_are_read(tree):
+    assert {(r["evidence"], r["target"]) for r in extract.references(tree.where("path LIKE '.github/%'")).collect()} == {("github_actions_uses", "actions/checkout@v4")}
+
+
+def test_repository_of(spark):
+    want = {"git::https://host/org/n1.git": "n1", "git::https://host/org/n1.git?ref=v2": "n1", "host:5000/team/img:1.2": "img", "org/act@v1": "act", "../../n3": "n3", "https://h/charts/": "charts", "https://host/org/mod.git//sub?ref=x": "mod", "scratch": "scratch", "img@sha256:abc": "img"}
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    from pyspark.sql import functions as F
+
+    assert {r[0]: r[1] for r in df.select("t", extract.repository_of(F.col("t"))).collect()} == want
+
+
+def test_units_and_decorators(spark):
+    rows = [("repo:a", "svc/api/Dockerfile", "FROM x", "dockerfile"), ("host/a", "Dockerfile", "FROM x", "dockerfile"), ("r", "Dockerfile.web", "FROM x", "dockerfile"), ("r", "a.py", "@Pytest.Fixture(scope='x')\ndef f():\n  pass\nclass C(A, metaclass = m.Meta):\n  pass", "python"), ("r", "b.py", None, "python")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string, language string")
+    assert {r["unit"] for r in extract.deployable_units(files).collect()} == {"api", "a", "web"}
+    assert [tuple(r) for r in extract.decorators(files).collect()] == [("r", "a.py", 1, "pytest.fixture")]
+    assert [tuple(r)[2:] for r in extract.metaclasses(files).collect()] == [(4, "C", "m.Meta")]

@@ -30,7 +30,10 @@ def plain(v):
 def test_query(spark, data, duck, name):
     df = QUERIES[name](spark, data)
     got = df.collect()
-    assert name in SQL
+    if name not in SQL:
+        # Chains by least node ids are beyond SQL on whole tables; test_whole holds them against plain Python.
+        assert name in {"call_chain_nodes", "dependency_path_hops"} and got
+        return
     want = duck.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)

@@ -1,4 +1,4 @@
-"""Queries over whole tables (NAME_whole) against plain Python, on graphs where a top-k of partners changes the result."""
+"""Queries over all calls and dependencies, and from the search set (NAME_whole), against plain Python, on graphs where a top-k of partners changes the result."""
 
 import pytest
 
@@ -40,11 +40,11 @@ def rows(spark, folder, name):
 def test_dead_code_over_all_calls(spark, folder):
     dead = {p for p in PARTS if p not in {b for _, b in CALLS}}
     assert dead == {1, 6}
-    assert {r[0] for r in rows(spark, folder, "dead_nodes_anti_whole")} == dead
-    assert rows(spark, folder, "dead_policy_whole") == {("dead", 1), ("generated", 1)}
-    paged = code.page(code.dead_nodes_anti(Tables(spark, folder, whole=True)), ["p_name"], 1, 5).collect()
+    assert {r[0] for r in rows(spark, folder, "dead_nodes_anti")} == dead
+    assert rows(spark, folder, "dead_policy") == {("dead", 1), ("generated", 1)}
+    paged = code.page(code.dead_nodes_anti(Tables(spark, folder)), ["p_name"], 1, 5).collect()
     assert [(r["p_partkey"], r["total"], r["truncated"]) for r in paged] == [(6, 2, False)]
-    assert code.dead_artifacts_paged(Tables(spark, folder, whole=True)).collect() == []
+    assert code.dead_artifacts_paged(Tables(spark, folder)).collect() == []
 
 
 def test_chains_over_second_callees(spark, folder):
@@ -64,6 +64,14 @@ def test_callees_of_the_search_set_to_depth_five(spark, folder):
     assert rows(spark, folder, "call_chain_shortest_whole") == {("part:100", "part:200", out[100, 200])}
 
 
+def test_chain_nodes(spark, folder):
+    found = rows(spark, folder, "call_chain_nodes")
+    assert {r[:3] for r in found} == rows(spark, folder, "call_chain_shortest_whole")
+    for seed, target, hops, chain in found:
+        nodes = [int(x.removeprefix("part:")) for x in chain.split(">")]
+        assert len(nodes) == hops + 1 and (f"part:{nodes[0]}", f"part:{nodes[-1]}") == (seed, target) and all(p in CALLS for p in zip(nodes, nodes[1:], strict=False))
+
+
 #: Lines that a nation orders of each other nation: 0 takes from 1, 2 and 3, and from 3 the least.
 TAKES = {(0, 1): 3, (0, 2): 2, (0, 3): 1, (1, 4): 1, (3, 4): 2}
 
@@ -78,5 +86,30 @@ def test_blast_radius_over_all_dependencies(spark, tmp_path):
     spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
     want = reach(range(5), {(b, a) for a, b in TAKES}, 5)
     assert want[3, 0] == 1
-    assert rows(spark, str(tmp_path), "blast_radius_repository_whole") == {(f"repo:{s}", f"repo:{x}", d, "R") for (s, x), d in want.items()}
-    assert rows(spark, str(tmp_path), "repo_consumers_whole") == {(f"repo:{b}", sum(y == b for _, y in TAKES), sum(n for (_, y), n in TAKES.items() if y == b)) for _, b in TAKES}
+    assert rows(spark, str(tmp_path), "blast_radius_repository") == {(f"repo:{s}", f"repo:{x}", d, "R") for (s, x), d in want.items()}
+    assert rows(spark, str(tmp_path), "repo_consumers") == {(f"repo:{b}", sum(y == b for _, y in TAKES), sum(n for (_, y), n in TAKES.items() if y == b)) for _, b in TAKES}
+
+
+def test_dependency_hops(spark, tmp_path):
+    pairs = [p for p, n in TAKES.items() for _ in range(n)]
+    spark.createDataFrame([(i, s) for i, (_, s) in enumerate(pairs)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, c) for i, (c, _) in enumerate(pairs)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("customer", "supplier"):
+        spark.createDataFrame([(k, k) for k in range(6)], f"{name[0]}_{name[:4]}key long, {name[0]}_nationkey long").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(k, f"N{k}", 0) for k in range(6)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    both = set(TAKES) | {(b, a) for a, b in TAKES}
+    least = {}
+    for s in range(6):
+        level = [(s,)]
+        for _ in range(8):
+            level = sorted(p + (b,) for p in level for a, b in both if a == p[-1] and b != s and (s, b) not in least)
+            for p in level:
+                least.setdefault((s, p[-1]), p)
+    total = {a: sum(n for (x, _), n in TAKES.items() if x == a) for a, _ in TAKES}
+    want = set()
+    for (s, x), p in least.items():
+        for i, (a, b) in enumerate(zip(p, p[1:], strict=False)):
+            out = (a, b) in TAKES
+            share = TAKES[a, b] / total[a] if out else TAKES[b, a] / total[b]
+            want.add((f"repo:{s}", f"repo:{x}", i + 1, f"repo:{a}", f"repo:{b}", "outgoing" if out else "incoming", round(share, 9)))
+    assert rows(spark, str(tmp_path), "dependency_path_hops") == want

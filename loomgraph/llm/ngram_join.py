@@ -119,6 +119,20 @@ class _Order:
         return np.where(self.token[at] == s, self.seen[at], 0)
 
 
+def _order(often: DataFrame) -> _Order:
+    """The order of the most frequent of the shingles (token, seen), at most FREQUENT: those above a count that a histogram of the counts gives, so no sort of all meets in the driver."""
+    often = written(often, "often")
+    total, least = 0, None
+    for r in often.groupBy("seen").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("seen")).collect():
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least = r["seen"]
+    kept = often.where(F.col("seen") >= least) if least is not None else often.where("false")
+    got = kept.toPandas()
+    return _Order(got["token"].to_numpy(dtype=np.int64).view(np.uint64), got["seen"].to_numpy(dtype=np.int64))
+
+
 def _prefixes(docs: DataFrame, order, text: str, width: int, percent: int) -> DataFrame:
     """(token, name, pos, often) of each distinct set's prefix; pos counts the set's members before the token."""
 
@@ -308,8 +322,7 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     spark = docs.sparkSession
     table = written(shingle_sets(docs, key, text, width), "sets")
     rows = table.where("n IS NOT NULL").select("key", "n", "name", "bits")
-    often = table.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast(_Order(often["token"].to_numpy(dtype=np.int64).view(np.uint64), often["seen"].to_numpy(dtype=np.int64)))
+    order = spark.sparkContext.broadcast(_order(table.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))))
 
     prefixes = _prefixes(docs, order, text, width, percent)
     # A frequent shingle has a list in any case, so its rows need not meet to be kept.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("code", "impact", "repositories", "content", "status", "reducers", "state", "surfaces", "extraction")
+MODULES = ("code", "impact", "repositories", "content", "status", "reducers", "state", "surfaces", "extraction", "semantics")
 
 
 def _modules():

@@ -37,7 +37,6 @@ def _from_search_set(sql: str) -> str:
     return sql.replace(SEED_SQL, SEARCH_SET_SQL)
 
 
-
 @R.add("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
 def code_search_exact(t: Tables) -> DataFrame:
     """Symbols by exact name; the name looked for is the first in the catalogue."""
@@ -96,10 +95,10 @@ def transitive_callees(t: Tables) -> DataFrame:
 
 @R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0", search_set=_from_search_set)
 def call_chain_shortest(t: Tables) -> DataFrame:
-    """Length of the shortest call chain from each seed to the newest function. Of equal chains the least by ids is taken, where the reference lists them all."""
-    paths = shortest_paths(_seeds(t), S.calls(t), 5).where("depth > 0")
-    newest = t.part.agg(F.concat(F.lit("part:"), F.max("p_partkey").cast("string")).alias("target"))
-    return paths.join(F.broadcast(newest), F.col("node") == F.col("target")).select("seed", "target", F.col("depth").alias("hops"))
+    """Length of the shortest call chain from each seed to the newest function; the search from a seed ends when that is found. `call_chain_nodes` gives the chains."""
+    newest = t.part.agg(F.concat(F.lit("part:"), F.max("p_partkey").cast("string")).alias("node"))
+    found = bounded_bfs(_seeds(t), S.calls(t), 5, until=newest).where("depth > 0")
+    return found.join(F.broadcast(newest), "node").select("seed", F.col("node").alias("target"), F.col("depth").alias("hops"))
 
 
 @R.add()
@@ -122,7 +121,7 @@ def reachable_pairs(t: Tables) -> DataFrame:
 @R.add(f"WITH {S.CALLS} SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM calls WHERE dst = 'part:' || p_partkey)")
 def dead_nodes_anti(t: Tables) -> DataFrame:
     """Functions that nothing calls."""
-    called = S.calls(t).select(F.col("dst").alias("id")).distinct()
+    called = S.call_lines(t).select(F.col("dst").alias("id")).distinct()
     return t.part.withColumn("id", node_id("part", "p_partkey")).join(called, "id", "left_anti").select("p_partkey", "p_name")
 
 
@@ -132,7 +131,7 @@ _POLICY_SQL = "CASE WHEN p_size >= 45 THEN 'entrypoint' WHEN p_name LIKE '%test%
 @R.add(f"WITH {S.CALLS} SELECT coalesce({_POLICY_SQL}, 'dead') AS verdict, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM calls WHERE dst = 'part:' || p_partkey) GROUP BY 1")
 def dead_policy(t: Tables) -> DataFrame:
     """Uncalled functions by what excludes them: entry points, tests, generated code, public interface; else dead."""
-    called = S.calls(t).select(F.col("dst").alias("id")).distinct()
+    called = S.call_lines(t).select(F.col("dst").alias("id")).distinct()
     uncalled = t.part.withColumn("id", node_id("part", "p_partkey")).join(called, "id", "left_anti")
     reason = (
         F.when(F.col("p_size") >= 45, "entrypoint")
@@ -170,6 +169,7 @@ def top_complex(t: Tables) -> DataFrame:
 SELECT name, id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS k FROM scored) WHERE k = 1""")
 def resolve_ranked(t: Tables) -> DataFrame:
     """For each name the entity of the highest rank: label rank, and bonuses for an id and a repository."""
+    # Ranks by label.
     rank = F.when(F.col("label") == "Repository", 1000).when(F.col("label") == "Workload", 950).when(F.col("label") == "Tier", 700).otherwise(500)
     scored = S.nodes(t).withColumn("score", rank + 50 + F.when(F.col("repo").isNull(), 0).otherwise(20))
     return pick(scored, ["name"], [F.desc("score"), "id"]).select("name", "id", "label", "score")

@@ -115,6 +115,7 @@ def correlation_summary(t: Tables) -> DataFrame:
     return _final(t).agg(F.count(F.lit(1)).alias("evaluated"), count_if(r.isNull()).alias("admitted"), count_if(r.isNotNull()).alias("rejected"), count_if(r == "low_confidence").alias("low_confidence"), count_if(r == "lost_tie_break").alias("conflicts"))
 
 
+# Confidence by kind of signal.
 _WEIGHT_SQL = "CASE p_type WHEN 'STANDARD' THEN 0.98 WHEN 'ECONOMY' THEN 0.95 WHEN 'PROMO' THEN 0.92 WHEN 'SMALL' THEN 0.88 WHEN 'MEDIUM' THEN 0.78 ELSE 0.45 END"
 _WEIGHTS = {"STANDARD": 0.98, "ECONOMY": 0.95, "PROMO": 0.92, "SMALL": 0.88, "MEDIUM": 0.78}
 
@@ -124,11 +125,11 @@ def _weight():
 
 
 @R.add(f"""SELECT l_suppkey AS repo, max({_WEIGHT_SQL})::DOUBLE AS confidence, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS signals, count(DISTINCT p_brand) AS namespaces,
-CASE WHEN count(*) FILTER (WHERE p_type = 'PROMO') > 100 THEN 'job' WHEN count(*) FILTER (WHERE p_type = 'STANDARD') > 95 THEN 'service' ELSE 'utility' END AS classification FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+CASE WHEN count(*) FILTER (WHERE p_type = 'PROMO') * 40 > count(*) * 7 THEN 'job' WHEN count(*) FILTER (WHERE p_type = 'STANDARD') * 100 > count(*) * 17 THEN 'service' ELSE 'utility' END AS classification FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def workload_candidates(t: Tables) -> DataFrame:
-    """Signals of each repository: highest weight, kinds, namespaces and a class by precedence."""
+    """Signals of each repository: highest weight, kinds, namespaces and a class by the share of its kinds."""
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    kind = F.when(count_if(F.col("p_type") == "PROMO") > 100, "job").when(count_if(F.col("p_type") == "STANDARD") > 95, "service").otherwise("utility")
+    kind = F.when(count_if(F.col("p_type") == "PROMO") * 40 > F.count(F.lit(1)) * 7, "job").when(count_if(F.col("p_type") == "STANDARD") * 100 > F.count(F.lit(1)) * 17, "service").otherwise("utility")
     return lines.groupBy(F.col("l_suppkey").alias("repo")).agg(F.max(_weight()).alias("confidence"), sorted_set("p_type").alias("signals"), F.count_distinct("p_brand").alias("namespaces"), kind.alias("classification"))
 
 

@@ -66,9 +66,17 @@ def language_detect(t: Tables) -> DataFrame:
 @R.add("""SELECT s_nationkey, count(DISTINCT l_orderkey) AS files, count(DISTINCT l_partkey) AS entities, count(DISTINCT p_type) AS entity_types, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def repo_stats(t: Tables) -> DataFrame:
-    """Exact counts of files, entities and entity types of each repository."""
-    lines = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return lines.groupBy("s_nationkey").agg(F.count_distinct("l_orderkey").alias("files"), F.count_distinct("l_partkey").alias("entities"), F.count_distinct("p_type").alias("entity_types"), sorted_set("p_type").alias("types"))
+    """Exact counts of files, entities and entity types of each repository.
+
+    Pairs are made distinct before parts are joined, so no line is expanded for each of the counts.
+    """
+    known = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    lines = known.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    files = lines.select("s_nationkey", "l_orderkey").distinct().groupBy("s_nationkey").agg(F.count("l_orderkey").alias("files"))
+    pairs = lines.select("s_nationkey", "l_partkey").distinct()
+    entities = pairs.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("s_nationkey", "p_type").agg(F.count_distinct("l_partkey").alias("n"))
+    kinds = entities.groupBy("s_nationkey").agg(F.sum("n").alias("entities"), F.count("p_type").alias("entity_types"), sorted_set("p_type").alias("types"))
+    return files.join(kinds, F.equal_null(files["s_nationkey"], kinds["s_nationkey"])).select(files["s_nationkey"], "files", "entities", "entity_types", "types")
 
 
 @R.add(f"WITH {S.NODES} SELECT count(*) FILTER (WHERE label = 'Repository') AS repositories, count(*) FILTER (WHERE label = 'Workload') AS workloads, count(*) FILTER (WHERE label = 'Tier') AS tiers, count(*) FILTER (WHERE label = 'Function') AS functions FROM nodes")
@@ -176,6 +184,7 @@ def consumer_scores(t: Tables) -> DataFrame:
     prov = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("repo"), F.lit("provision").alias("kind"), F.col("o_orderpriority").alias("v"))
     refs = names.unionByName(hosts).unionByName(prov)
     has = lambda k: F.max((F.col("kind") == k).cast("int"))
+    # Weights of the kinds of evidence.
     score = 100 * has("provision") + 15 * has("host") + 5 * has("name") + 3 * F.count_distinct("v") + 10 * F.count_distinct("kind")
     return refs.groupBy("repo").agg(score.cast("long").alias("score"))
 

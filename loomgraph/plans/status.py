@@ -69,13 +69,13 @@ def conflict_blockages(t: Tables) -> DataFrame:
     return blocked.join(blockers, "conflict_key").select("domain", "conflict_key", "blocked", "blockers").orderBy(F.desc("blocked"), "domain", "conflict_key").limit(10)
 
 
-@R.add(f"""WITH {ITEMS}, c AS (SELECT domain, count(*) FILTER (WHERE status = 'pending') AS p, count(*) FILTER (WHERE status IN ('claimed', 'running')) AS f, count(*) FILTER (WHERE status = 'dead_letter') AS d, count(*) FILTER (WHERE status = 'claimed' AND value > 95) AS overdue FROM items GROUP BY 1)
-SELECT domain, CASE WHEN overdue > 40 OR (p > 0 AND f = 0) THEN 'stalled' WHEN d > 290 THEN 'degraded' WHEN p + f > 0 THEN 'progressing' ELSE 'healthy' END AS health FROM c""")
+@R.add(f"""WITH {ITEMS}, c AS (SELECT domain, count(*) FILTER (WHERE status = 'pending') AS p, count(*) FILTER (WHERE status IN ('claimed', 'running')) AS f, count(*) FILTER (WHERE status = 'dead_letter') AS d, count(*) FILTER (WHERE status = 'claimed' AND value > 95) AS overdue, count(*) AS n FROM items GROUP BY 1)
+SELECT domain, CASE WHEN overdue * 100 > n * 3 OR (p > 0 AND f = 0) THEN 'stalled' WHEN d * 100 > n * 20 THEN 'degraded' WHEN p + f > 0 THEN 'progressing' ELSE 'healthy' END AS health FROM c""")
 def pipeline_health(t: Tables) -> DataFrame:
-    """Health of each domain by a ladder: stalled, degraded, progressing, healthy."""
+    """Health of each domain by a ladder: stalled (over 3 % overdue, or nothing in flight), degraded (over 20 % dead), progressing, healthy."""
     s = F.col("status")
-    c = items(t).groupBy("domain").agg(count_if(s == "pending").alias("p"), count_if(s.isin("claimed", "running")).alias("f"), count_if(s == "dead_letter").alias("d"), count_if((s == "claimed") & (F.col("value") > 95)).alias("overdue"))
-    health = F.when((F.col("overdue") > 40) | ((F.col("p") > 0) & (F.col("f") == 0)), "stalled").when(F.col("d") > 290, "degraded").when(F.col("p") + F.col("f") > 0, "progressing").otherwise("healthy")
+    c = items(t).groupBy("domain").agg(count_if(s == "pending").alias("p"), count_if(s.isin("claimed", "running")).alias("f"), count_if(s == "dead_letter").alias("d"), count_if((s == "claimed") & (F.col("value") > 95)).alias("overdue"), F.count(F.lit(1)).alias("n"))
+    health = F.when((F.col("overdue") * 100 > F.col("n") * 3) | ((F.col("p") > 0) & (F.col("f") == 0)), "stalled").when(F.col("d") * 100 > F.col("n") * 20, "degraded").when(F.col("p") + F.col("f") > 0, "progressing").otherwise("healthy")
     return c.select("domain", health.alias("health"))
 
 

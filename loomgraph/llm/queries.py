@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, language_id, line_dedup, ngram_join, packing, quality, sharding, url_filter
+from . import decontaminate, fingerprints, hard_negatives, html_extract, language_id, line_dedup, merkle_manifest, ngram_join, packing, quality, quality_rules, sharding, url_filter
 from .shared import crc_fold, ship
 
 #: Folds that the models don't learn from.
@@ -82,6 +82,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows, label=label)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle_manifest.manifest(docs, changed={"text": merkle_manifest.tampered_text()}).withColumnRenamed("key", "doc_id")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 # The pipeline's stages.
 
 
@@ -135,9 +150,9 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def queries() -> dict:
-    found = (op1_html_extract, op2_packing, op3_fingerprints, op4_ngram_join, op5_quality, op6_url_filter, op7_language_id, op8_decontaminate, op9_line_dedup, op9_line_dedup_whole, op10_sharding)
+    found = (op1_html_extract, op2_packing, op3_fingerprints, op4_ngram_join, op5_quality, op6_url_filter, op7_language_id, op8_decontaminate, op9_line_dedup, op9_line_dedup_whole, op10_sharding, op11_hard_negatives, op12_merkle_manifest, op13_quality_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op6_url_filter": url_filter.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_merkle_manifest": merkle_manifest.ORACLE, "op13_quality_rules": quality_rules.ORACLE}

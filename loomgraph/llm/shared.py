@@ -143,8 +143,8 @@ def chunks(texts, limit: int = CHUNK_BYTES):
         yield first, part
 
 
-def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) of several texts one after the other, and where each text's words begin (one more entry: the end)."""
+def word_hashes(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased unless told not to) of several texts one after the other, and where each text's words begin (one more entry: the end)."""
     lens = np.array([len(b) for b in parts], dtype=np.int64)
     bounds = np.concatenate(([0], np.cumsum(lens)))
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
@@ -162,7 +162,7 @@ def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     h = (total[end] - total[start]) * down[start]
     h = mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return h, np.searchsorted(start, bounds)
@@ -178,3 +178,13 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for j in range(w):
         s = s * np.uint64(0x2545F4914F6CDD1D) + words[j : k - w + 1 + j]
     return mix(s)
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of word hashes from each `first` to before each `ends`; none is empty."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix(((total[ends] - total[first]) * down[first]) ^ ((ends - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))

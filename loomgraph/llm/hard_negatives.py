@@ -255,8 +255,9 @@ def _rows(found, width: int, columns: list[str]):
 def _by_waves(index: DataFrame, anchors: DataFrame, dim: int, columns: list[str], search, what: str, wave_anchors: int) -> DataFrame:
     """What `search` finds in each task's batches for one wave of anchors after the other; at most about `wave_anchors` are broadcast at once."""
     spark = index.sparkSession
-    waves = max(1, math.ceil(anchors.count() / wave_anchors))
-    parts = []
+    schema = ", ".join(f"{c} long" for c in columns)
+    waves = math.ceil(anchors.count() / wave_anchors)
+    parts = [] if waves else [spark.createDataFrame([], schema)]
     for wave in range(waves):
         held = spark.sparkContext.broadcast(Anchors(anchors.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).toArrow(), dim))
 
@@ -264,9 +265,8 @@ def _by_waves(index: DataFrame, anchors: DataFrame, dim: int, columns: list[str]
         def run(batches, held=held):
             yield _rows(search(batches, held.value), len(columns), columns)
 
-        found = index.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+        found = index.mapInArrow(run, schema)
         parts.append(written(found, f"{what}-{wave}") if waves > 1 else found)
-        # The broadcast stays until its table is written; a lazy single wave keeps it for the caller's job.
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

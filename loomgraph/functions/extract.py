@@ -202,39 +202,6 @@ def manifest_models(files: DataFrame) -> DataFrame:
     return each.select("repo_id", "path", "model", "n.name", F.col("n.relation_name").alias("relation"), F.coalesce("n.depends_on.nodes", F.array().cast("array<string>")).alias("upstream"), F.array_sort(F.map_keys("n.columns")).alias("columns"), F.col("n.compiled_code").alias("compiled"))
 
 
-def column_lineage(models: DataFrame, sql: str = "compiled") -> DataFrame:
-    """(model, output, source, kind) of the columns of plain SELECTs: output name, what it is made of, and how.
-
-    kind is direct, cast, case, window, aggregate, function or arithmetic, by the outermost form. Aliases of FROM and JOIN
-    are resolved to their tables; a projection of * has source * and kind unresolved.
-    """
-    flat = F.regexp_replace(sql, r"\s+", " ")
-    body = F.regexp_extract(flat, r"(?i)select (.*?) from ", 1)
-    # Commas inside parentheses are hidden while the projection is cut at the others.
-    hidden = F.regexp_replace(body, r",(?=[^()]*\))", "\u0001")
-    pairs = F.regexp_extract_all(flat, F.lit(r"(?i)(?:from|join) ([\w.\"]+ (?:as )?\w+)"), F.lit(1))
-    aliases = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda p: F.struct(F.element_at(F.split(p, " "), -1), F.element_at(F.split(p, " "), 1)))))
-    each = models.where(F.col(sql).isNotNull()).select("model", aliases.alias("aliases"), F.explode(F.split(hidden, ",")).alias("item")).withColumn("item", F.trim(F.translate("item", "\u0001", ",")))
-    expr = F.trim(F.regexp_replace("item", r"(?i) as \"?\w+\"?$", ""))
-    name = F.coalesce(F.nullif(F.regexp_extract("item", r"(?i) as \"?(\w+)\"?$", 1), F.lit("")), F.element_at(F.split("item", r"[. ]"), -1))
-    kind = (
-        F.when(F.rlike(expr, F.lit(r"[*]$")), "unresolved")
-        .when(F.rlike(expr, F.lit(r"(?i)\bover *[(]")), "window")
-        .when(F.rlike(expr, F.lit(r"(?i)^(?:avg|count|max|min|sum) *[(]")), "aggregate")
-        .when(F.rlike(expr, F.lit(r"(?i)^cast *[(]|::")), "cast")
-        .when(F.rlike(expr, F.lit(r"(?i)^case\b")), "case")
-        .when(F.rlike(expr, F.lit(r"^\w+ *[(]")), "function")
-        .when(F.rlike(expr, F.lit(r"[-+/*|]")), "arithmetic")
-        .otherwise("direct")
-    )
-    qualified = F.regexp_extract_all(expr, F.lit(r"\b([A-Za-z_]\w*[.][A-Za-z_]\w*)\b"), F.lit(1))
-    bare = F.when(F.rlike(expr, F.lit(r"^\w+$")), F.array(expr)).otherwise(F.array(F.lit("*")))
-    sources = F.when(F.size(qualified) > 0, F.array_distinct(qualified)).otherwise(bare)
-    rows = each.select("model", "aliases", name.alias("output"), kind.alias("kind"), F.explode(sources).alias("s"))
-    table = F.coalesce(F.try_element_at("aliases", F.substring_index("s", ".", 1)), F.substring_index("s", ".", 1))
-    return rows.select("model", "output", F.when(F.contains("s", F.lit(".")), F.concat(table, F.lit("."), F.substring_index("s", ".", -1))).otherwise(F.col("s")).alias("source"), "kind")
-
-
 _METHODS = ("get", "put", "post", "delete", "patch", "head", "options", "trace")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract
+from ..functions import extract, lineage
 from ..sources.files import language_of
 from ..sources.tables import Tables, node_id
 from .registry import Registry
@@ -206,15 +206,17 @@ def extract_dbt_models(t: Tables) -> DataFrame:
 @R.add("""SELECT 'model.p.m' || c_custkey AS model, output, replace(source, '$', 'c' || c_custkey) AS source, kind FROM customer, (VALUES ('id', '$.id', 'direct'), ('n', 'orders.id', 'aggregate'), ('*', '*', 'unresolved')) x(output, source, kind)""")
 def extract_column_lineage(t: Tables) -> DataFrame:
     """Column lineage of compiled models: direct, aggregated and unresolved columns, with aliases resolved to tables."""
-    return extract.column_lineage(extract.manifest_models(_dbt(t)))
+    known, gaps = lineage.column_lineage(extract.manifest_models(_dbt(t)))
+    named = known.select("model", "output", F.explode("sources").alias("source"), "kind")
+    return named.unionByName(gaps.select("model", F.col("reference").alias("output"), F.col("reference").alias("source"), F.lit("unresolved").alias("kind")))
 
 
 @R.add("SELECT count(*) AS models, sum(3)::BIGINT AS columns, sum(2)::BIGINT AS resolved, sum(1)::BIGINT AS unresolved, round(2 / 3, 6) AS share FROM customer")
 def dbt_coverage(t: Tables) -> DataFrame:
     """How much of the models' columns has known lineage."""
-    c = extract.column_lineage(extract.manifest_models(_dbt(t)))
-    bad = (F.col("kind") == "unresolved").cast("int")
-    total = c.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("bad")).agg(F.count(F.lit(1)).alias("models"), F.sum("n").alias("columns"), F.sum("bad").alias("unresolved"))
+    known, gaps = lineage.column_lineage(extract.manifest_models(_dbt(t)))
+    each = known.select("model", F.lit(0).alias("bad")).unionByName(gaps.select("model", F.lit(1).alias("bad")))
+    total = each.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).agg(F.count(F.lit(1)).alias("models"), F.sum("n").alias("columns"), F.sum("bad").alias("unresolved"))
     return total.select("models", "columns", (F.col("columns") - F.col("unresolved")).alias("resolved"), "unresolved", F.round((F.col("columns") - F.col("unresolved")) / F.col("columns"), 6).alias("share"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from loomgraph.functions import extract
+from loomgraph.functions.lineage import column_lineage
 from loomgraph.sources import files as S
 
 FILES = {
@@ -73,11 +74,14 @@ def test_lineage(tree):
     models = extract.manifest_models(tree)
     m = models.first()
     assert (m["name"], m["upstream"], m["columns"]) == ("m", ["source.u"], ["a", "b"])
-    rows = {(r["output"], r["source"], r["kind"]) for r in extract.column_lineage(models).collect()}
+    known, gaps = column_lineage(models)
+    rows = {(r["output"], x, r["kind"]) for r in known.collect() for x in r["sources"]}
     assert rows == {
         ("user_id", "users.id", "direct"), ("n", "orders.id", "aggregate"), ("age", "users.age", "cast"), ("z", "users.x", "function"), ("z", "orders.y", "function"),
-        ("t", "users.a", "arithmetic"), ("t", "orders.b", "arithmetic"), ("name", "name", "direct"),
+        ("t", "users.a", "arithmetic"), ("t", "orders.b", "arithmetic"),
     }
+    # Without a catalogue a column that names no table isn't resolved.
+    assert [(r["reference"], r["reason"]) for r in gaps.collect()] == [("name", "unqualified_column_reference_not_resolved")]
 
 
 def test_json_documents(tree):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import rulepacks
 from ..operators.relational import count_if, pick, sorted_set
 from ..sources.tables import Tables, node_id
 from .registry import Registry
@@ -115,6 +116,53 @@ def correlation_summary(t: Tables) -> DataFrame:
     return _final(t).agg(F.count(F.lit(1)).alias("evaluated"), count_if(r.isNull()).alias("admitted"), count_if(r.isNotNull()).alias("rejected"), count_if(r == "low_confidence").alias("low_confidence"), count_if(r == "lost_tie_break").alias("conflicts"))
 
 
+# Rule packs as data: an order is a candidate of the pack that its key gives, its lines are atoms of that pack's family or the next.
+_FAMILY = f"(VALUES {', '.join(f"({i}, '{p[0]}', {p[1]}, '{p[3]}', '{p[4]}', {p[5]})" for i, p in enumerate(rulepacks.FIRST_PARTY))}) f(i, pack, least, evidence_type, key, most)"
+_PACK_ATOMS = f"""families AS (SELECT * FROM {_FAMILY}),
+atoms AS (SELECT l_orderkey AS candidate, evidence_type, CASE WHEN l_returnflag = 'R' THEN 'other' ELSE key END AS key, l_discount FROM lineitem JOIN families ON i = (l_orderkey + CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) % 11),
+cands AS (SELECT o_orderkey AS candidate, pack, o_custkey AS correlation_key, least, evidence_type, key, most, (SELECT round(max(1 - 2 * l_discount), 6) FROM lineitem WHERE l_orderkey = o_orderkey) AS confidence FROM orders JOIN families ON i = o_orderkey % 11),
+met AS (SELECT c.*, (SELECT count(*) FROM atoms a WHERE a.candidate = c.candidate AND a.evidence_type = c.evidence_type AND a.key = c.key) AS fitting, (SELECT count(*) FROM atoms a WHERE a.candidate = c.candidate) AS n FROM cands c),
+graded AS (SELECT *, confidence IS NULL OR confidence < least AS low, fitting < 1 AS lacking FROM met),
+placed AS (SELECT *, NOT low AND NOT lacking AS fine, row_number() OVER (PARTITION BY pack, correlation_key, NOT low AND NOT lacking ORDER BY confidence DESC, candidate) AS k FROM graded)"""
+
+
+def _pack_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    families = t.spark.createDataFrame([(i, p[0], p[3], p[4]) for i, p in enumerate(rulepacks.FIRST_PARTY)], "i long, pack string, evidence_type string, own_key string")
+    lines = t.lineitem.join(F.broadcast(families), F.pmod(F.col("l_orderkey") + F.when(F.col("l_quantity") > 25, 1).otherwise(0), F.lit(len(rulepacks.FIRST_PARTY))) == F.col("i"))
+    none = F.lit(None).cast("string")
+    # Two lines of an order may share their number, so an atom's name is all that tells it.
+    atom = F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate", "l_returnflag")
+    atoms = lines.select(F.col("l_orderkey").alias("candidate"), atom.alias("atom"), none.alias("source_system"), "evidence_type", none.alias("scope_id"), F.when(F.col("l_returnflag") == "R", "other").otherwise(F.col("own_key")).alias("key"), none.alias("value"))
+    confidence = t.lineitem.groupBy(F.col("l_orderkey").alias("candidate")).agg(F.round(F.max(1 - 2 * F.col("l_discount")), 6).alias("confidence"))
+    cands = t.orders.join(F.broadcast(families), F.pmod("o_orderkey", F.lit(len(rulepacks.FIRST_PARTY))) == F.col("i")).select(F.col("o_orderkey").alias("candidate"), "pack", F.col("o_custkey").alias("correlation_key"))
+    return cands.join(confidence, "candidate", "left"), atoms
+
+
+@R.add(f"""WITH {_PACK_ATOMS} SELECT candidate, pack, CASE WHEN fine AND k = 1 THEN 'admitted' ELSE 'rejected' END AS state,
+concat_ws(',', CASE WHEN low THEN 'low_confidence' END, CASE WHEN lacking THEN 'structural_mismatch' END, CASE WHEN fine AND k > 1 THEN 'lost_tie_break' END) AS reasons FROM placed""")
+def rule_pack_admission(t: Tables) -> DataFrame:
+    """Candidates judged by eleven packs: confidence, required atoms, and the winner of each pack and key."""
+    cands, atoms = _pack_inputs(t)
+    return rulepacks.evaluate(cands, atoms, rulepacks.first_party(t.spark)).select("candidate", "pack", "state", F.array_join("reasons", ",").alias("reasons"))
+
+
+@R.add(f"WITH {_PACK_ATOMS} SELECT candidate, pack, least(n, most)::BIGINT AS matches FROM met")
+def rule_pack_matches(t: Tables) -> DataFrame:
+    """How many atoms each pack's match rule takes of a candidate, bounded by the rule."""
+    cands, atoms = _pack_inputs(t)
+    return rulepacks.match_counts(cands, atoms, rulepacks.first_party(t.spark)).select("candidate", "pack", "matches")
+
+
+@R.add(f"""WITH {_PACK_ATOMS} SELECT pack, count(*) AS evaluated, count(*) FILTER (WHERE fine AND k = 1) AS admitted, count(*) FILTER (WHERE low) AS low_confidence,
+count(*) FILTER (WHERE lacking) AS structural_mismatch, count(*) FILTER (WHERE fine AND k > 1) AS lost_tie_break FROM placed GROUP BY pack""")
+def rule_pack_summary(t: Tables) -> DataFrame:
+    """Each pack's candidates by outcome and reason."""
+    cands, atoms = _pack_inputs(t)
+    e = rulepacks.evaluate(cands, atoms, rulepacks.first_party(t.spark))
+    having = lambda r: count_if(F.array_contains("reasons", r)).alias(r)
+    return e.groupBy("pack").agg(F.count(F.lit(1)).alias("evaluated"), count_if(F.col("state") == "admitted").alias("admitted"), having("low_confidence"), having("structural_mismatch"), having("lost_tie_break"))
+
+
 # Confidence by kind of signal.
 _WEIGHT_SQL = "CASE p_type WHEN 'STANDARD' THEN 0.98 WHEN 'ECONOMY' THEN 0.95 WHEN 'PROMO' THEN 0.92 WHEN 'SMALL' THEN 0.88 WHEN 'MEDIUM' THEN 0.78 ELSE 0.45 END"
 _WEIGHTS = {"STANDARD": 0.98, "ECONOMY": 0.95, "PROMO": 0.92, "SMALL": 0.88, "MEDIUM": 0.78}

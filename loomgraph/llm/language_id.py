@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +29,14 @@ BLOCK = 2048
 #: A text is rejected if the runner-up needs less than this much more than the best.
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Combining marks belong to their letters: vowel signs, viramas, accents of decomposed texts.
+_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+_OTHER = re.compile(rf"(?:[^\w{_MARKS}]|[\d_])+")
 
 
 def plain(text: str) -> str:
-    """The lower-cased letters of a text, with one space for whatever stands between them."""
-    return _OTHER.sub(" ", text.lower())
+    """The lower-cased letters of a text with their marks, composed where they can be, and one space for whatever stands between them."""
+    return _OTHER.sub(" ", unicodedata.normalize("NFC", text.lower()))
 
 
 def has_letter(text: str) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Sequence
 
 import pandas as pd
@@ -28,7 +29,7 @@ def path_of(url: Column) -> Column:
 
 
 def build_trie(rules: Sequence[tuple[str, str, str]]) -> dict:
-    """Nodes {label or segment: node} with "" for what ends there: under a host node, {"path": node}; in a path node, {"ends": {last part: (rule, verdict)}}.
+    """Nodes {"next": {label or segment: node}}: a host node has {"path": node}, a path node {"ends": {last part: (rule, verdict)}, "lengths": of those parts, rising}.
 
     A rule's last path part need not be a whole segment: it is kept as a prefix of the url's. Of equal rules, block wins.
     """
@@ -37,10 +38,12 @@ def build_trie(rules: Sequence[tuple[str, str, str]]) -> dict:
         node = root
         for label in reversed(host.split(".")):
             node = node["next"].setdefault(label, {"next": {}, "path": None})
-        node["path"] = node["path"] or {"next": {}, "ends": {}}
+        node["path"] = node["path"] or {"next": {}, "ends": {}, "lengths": []}
         at, (*segments, last) = node["path"], path.split("/")
         for s in segments:
-            at = at["next"].setdefault(s, {"next": {}, "ends": {}})
+            at = at["next"].setdefault(s, {"next": {}, "ends": {}, "lengths": []})
+        if last not in at["ends"] and len(last) not in at["lengths"]:
+            insort(at["lengths"], len(last))
         if at["ends"].get(last, ("", "allow"))[1] == "allow":
             at["ends"][last] = (host + path, verdict)
     return root
@@ -49,8 +52,9 @@ def build_trie(rules: Sequence[tuple[str, str, str]]) -> dict:
 def _in_path(node: dict, path: str) -> tuple[str, str] | None:
     best = None
     for s in path.split("/"):
-        for k in range(len(s), -1, -1) if node["ends"] else ():
-            if s[:k] in node["ends"]:
+        # Only the beginnings that some rule is as long as, so a long segment costs no more than a short one.
+        for k in reversed(node["lengths"]):
+            if k <= len(s) and s[:k] in node["ends"]:
                 best = node["ends"][s[:k]]
                 break
         node = node["next"].get(s)
@@ -98,7 +102,8 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     """Key, host, path, rule and verdict of each url; rule is null and the verdict `default` where none fits.
 
     A null url, or one without "://", has an empty host and path, which no rule with a host fits. Repeated rows are judged
-    alike, an empty table gives no rows, other columns are ignored, very long urls are read whole.
+    alike, an empty table gives no rows, other columns are ignored; very long urls are read whole, in time that grows with
+    their length.
     """
     parts = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     judged = (_by_trie if len(rules) <= trie_rules else _by_join)(parts, list(rules))

@@ -169,28 +169,6 @@ def decorators(files: DataFrame) -> DataFrame:
     return found.where("decorator <> ''").select("repo_id", "path", "line", "decorator")
 
 
-def reachability(files: DataFrame) -> DataFrame:
-    """(family, name, repo_id, reachability, confidence) of Terraform modules, Helm charts and Ansible roles.
-
-    used (0.99) where any file names it, ambiguous (0.4) where only an interpolated reference could, else unused (0.75).
-    References go by family and lower-case name whatever the repository, so equal names stand for each other.
-    """
-    table = (("terraform", r"(?:^|/)modules/([^/]+)/", r"modules/([\w-]+)"), ("helm", r"(?:^|/)charts/([^/]+)/Chart[.]yaml$", r"charts/([\w-]+)"), ("ansible", r"(?:^|/)roles/([^/]+)/tasks/", r"(?:role:\s*|roles/)([\w-]+)"))
-    artifacts = used = loose = None
-    text = lines(files)
-    for family, place, named in table:
-        own = files.select(F.lit(family).alias("family"), F.lower(F.regexp_extract("path", place, 1)).alias("name"), "repo_id").where("name <> ''").distinct()
-        own_path = F.lower(F.regexp_extract("path", place, 1))
-        said = text.select(F.lit(family).alias("family"), own_path.alias("own"), F.explode(F.regexp_extract_all("text", F.lit(named), F.lit(1))).alias("n"))
-        said = said.select("family", F.lower("n").alias("name"), "own").where("name <> own").select("family", "name").distinct()
-        dark = text.where(F.rlike("text", F.lit(r"(?:modules|charts|roles)/[^\s\"']*(?:\$\{|\{\{)"))).select(F.lit(family).alias("family")).distinct()
-        artifacts, used, loose = (b if a is None else a.unionByName(b) for a, b in ((artifacts, own), (used, said), (loose, dark)))
-    both = artifacts.join(used.withColumn("u", F.lit(True)), ["family", "name"], "left").join(loose.withColumn("l", F.lit(True)), "family", "left")
-    level = F.when(F.col("u"), "used").when(F.col("l"), "ambiguous").otherwise("unused")
-    confidence = F.when(F.col("u"), F.lit(0.99)).when(F.col("l"), F.lit(0.4)).otherwise(F.lit(0.75))
-    return both.select("family", "name", "repo_id", level.alias("reachability"), confidence.alias("confidence"))
-
-
 # Fixed value: the fields of a dbt manifest that are read.
 MANIFEST = "nodes map<string, struct<name: string, resource_type: string, relation_name: string, depends_on: struct<nodes: array<string>>, columns: map<string, struct<name: string>>, compiled_code: string>>"
 

@@ -4,6 +4,7 @@ import pytest
 
 from loomgraph.functions import extract
 from loomgraph.functions.lineage import column_lineage
+from loomgraph.functions.reachability import reachability
 from loomgraph.sources import files as S
 
 FILES = {
@@ -67,7 +68,7 @@ def test_documents_and_references(tree):
 
 
 def test_reachability(tree):
-    assert {(r["family"], r["name"]): r["reachability"] for r in extract.reachability(tree).collect()} == {("terraform", "net"): "used", ("terraform", "old"): "unused"}
+    assert {(r["family"], r["name"]): r["reachability"] for r in reachability(tree).collect()} == {("terraform", "net"): "used", ("terraform", "old"): "unused"}
 
 
 def test_lineage(tree):

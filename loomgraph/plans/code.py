@@ -12,14 +12,11 @@ from ..sources.tables import Tables, node_id
 from .registry import Registry
 
 R = Registry()
-SEEDS = ("part:1", "part:2", "part:3")
 
 
-def _seeds(t: Tables, ids=SEEDS) -> DataFrame:
-    """The three ids, or the search set: every hundredth id of the part table."""
-    if t.search_set:
-        return t.part.where("p_partkey % 100 = 0").select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
-    return t.spark.createDataFrame([(x, x) for x in ids], "seed string, node string")
+def _seeds(t: Tables) -> DataFrame:
+    """The search set: every hundredth id of the part table."""
+    return t.part.where("p_partkey % 100 = 0").select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
 
 
 def bfs_sql(ctes: str, table: str, seeds: str, depth: int) -> str:
@@ -29,12 +26,7 @@ r(seed, node, depth) AS ({seeds} UNION SELECT r.seed, e.dst, r.depth + 1 FROM r
 best AS (SELECT seed, node, min(depth)::INTEGER AS depth FROM r GROUP BY seed, node)"""
 
 
-SEED_SQL = "SELECT x, x, 0 FROM (VALUES ('part:1'), ('part:2'), ('part:3')) s(x)"
-SEARCH_SET_SQL = "SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0 FROM part WHERE p_partkey % 100 = 0"
-
-
-def _from_search_set(sql: str) -> str:
-    return sql.replace(SEED_SQL, SEARCH_SET_SQL)
+SEED_SQL = "SELECT 'part:' || p_partkey, 'part:' || p_partkey, 0 FROM part WHERE p_partkey % 100 = 0"
 
 
 @R.add("SELECT p_partkey, p_name, p_brand FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
@@ -81,19 +73,19 @@ def edges_in_out(t: Tables) -> DataFrame:
     return out.unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "type", F.lit("incoming").alias("direction")))
 
 
-@R.add(bfs_sql(S.CALLS, "(SELECT dst AS src, src AS dst FROM calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", search_set=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "(SELECT dst AS src, src AS dst FROM calls)", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0")
 def transitive_callers(t: Tables) -> DataFrame:
     """Who reaches the seeds by calls, with the least depth, up to five."""
     return bounded_bfs(_seeds(t), reversed_edges(S.calls(t)), 5).where("depth > 0")
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0", search_set=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node, depth FROM best WHERE depth > 0")
 def transitive_callees(t: Tables) -> DataFrame:
     """What the seeds reach over all calls, with the least depth, up to five."""
     return bounded_bfs(_seeds(t), S.calls(t), 5).where("depth > 0")
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0", search_set=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 5) + " SELECT seed, node AS target, depth AS hops FROM best WHERE node = (SELECT 'part:' || max(p_partkey) FROM part) AND depth > 0")
 def call_chain_shortest(t: Tables) -> DataFrame:
     """Length of the shortest call chain from each seed to the newest function; the search from a seed ends when that is found. `call_chain_nodes` gives the chains."""
     newest = t.part.agg(F.concat(F.lit("part:"), F.max("p_partkey").cast("string")).alias("node"))
@@ -104,13 +96,13 @@ def call_chain_shortest(t: Tables) -> DataFrame:
 @R.add()
 def call_chain_nodes(t: Tables) -> DataFrame:
     """The shortest call chain from each of the search set to the newest function, node by node; of equal chains the least by ids."""
-    start = t.part.where("p_partkey % 100 = 0").select(node_id("part", "p_partkey").alias("seed"), node_id("part", "p_partkey").alias("node"))
+    start = _seeds(t)
     newest = t.part.agg(F.concat(F.lit("part:"), F.max("p_partkey").cast("string")).alias("target"))
     paths = shortest_paths(start, S.calls(t), 5).where("depth > 0").join(F.broadcast(newest), F.col("node") == F.col("target"))
     return paths.select("seed", "target", F.col("depth").alias("hops"), F.array_join("path", ">").alias("chain"))
 
 
-@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM calls GROUP BY dst HAVING count(*) >= 3)", search_set=_from_search_set)
+@R.add(bfs_sql(S.CALLS, "calls", SEED_SQL, 10) + " SELECT a.seed, a.node AS reached, a.depth FROM best a WHERE a.depth > 0 AND a.node IN (SELECT dst FROM calls GROUP BY dst HAVING count(*) >= 3)")
 def reachable_pairs(t: Tables) -> DataFrame:
     """Pairs of a start and a candidate end (a function that three or more call) that a chain joins."""
     calls = S.calls(t)
@@ -128,6 +120,42 @@ def dead_nodes_anti(t: Tables) -> DataFrame:
 _POLICY_SQL = "CASE WHEN p_size >= 45 THEN 'entrypoint' WHEN p_name LIKE '%test%' OR p_name LIKE 'Test%' THEN 'test' WHEN p_type LIKE 'PROMO%' THEN 'generated' WHEN substr(p_brand, 1, 7) = 'Brand#5' THEN 'public_api' END"
 
 
+# Calls that an indexer confirmed: those of lines of many pieces. Over all calls no part of the tables is dead; over these many are.
+_CONFIRMED = f"confirmed AS (SELECT DISTINCT dst FROM (SELECT l_quantity, {S._LEAD.removeprefix('SELECT ').replace(' FROM lineitem', '')} FROM lineitem) WHERE dst IS NOT NULL AND src <> dst AND l_quantity >= 49)"
+_FINDINGS = f"""WITH {_CONFIRMED}, findings AS (SELECT p_partkey, p_name, p_size, {_POLICY_SQL} AS excluded_by FROM part WHERE 'part:' || p_partkey NOT IN (SELECT dst FROM confirmed))"""
+
+
+def _findings(t: Tables) -> DataFrame:
+    """Functions without a confirmed call, and the policy that excludes them from what is reported, null where none does."""
+    called = S.call_lines(t, "l_quantity").where("l_quantity >= 49").select(F.col("dst").alias("id")).distinct()
+    excluded = F.when(F.col("p_size") >= 45, "entrypoint").when(F.contains("p_name", F.lit("test")) | F.startswith("p_name", F.lit("Test")), "test").when(F.startswith("p_type", F.lit("PROMO")), "generated").when(F.startswith("p_brand", F.lit("Brand#5")), "public_api")
+    uncalled = t.part.withColumn("id", node_id("part", "p_partkey")).join(called, "id", "left_anti")
+    return uncalled.select("p_partkey", "p_name", "p_size", excluded.alias("excluded_by"))
+
+
+@R.add(f"{_FINDINGS} SELECT p_partkey, p_name, coalesce(excluded_by, 'dead') AS verdict FROM findings")
+def dead_code_findings(t: Tables) -> DataFrame:
+    """Every function without a confirmed call: dead, or what keeps it out of the report."""
+    return _findings(t).select("p_partkey", "p_name", F.coalesce("excluded_by", F.lit("dead")).alias("verdict"))
+
+
+@R.add(f"""{_FINDINGS}, kept AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS place FROM findings WHERE excluded_by IS NULL)
+SELECT p_partkey, p_name, total, CASE WHEN total > 150 THEN 150 END AS next_offset, total > 150 AS truncated FROM kept WHERE place >= 50 AND place < 150""")
+def dead_code_page(t: Tables) -> DataFrame:
+    """The second page of dead functions by name (offset 50, limit 100), with the total and where the next one begins."""
+    kept = _findings(t).where("excluded_by IS NULL")
+    total = kept.agg(F.count(F.lit(1)).alias("total"))
+    page = kept.orderBy("p_name", "p_partkey").offset(50).limit(100)
+    more = F.col("total") > 150
+    return page.join(F.broadcast(total)).select("p_partkey", "p_name", "total", F.when(more, F.lit(150)).alias("next_offset"), more.alias("truncated"))
+
+
+@R.add(f"{_FINDINGS} SELECT coalesce(excluded_by, 'dead') AS verdict, count(*) AS n, min(p_name) AS first_name, sum(p_size)::BIGINT AS lines FROM findings GROUP BY 1")
+def dead_code_policies(t: Tables) -> DataFrame:
+    """Functions without a confirmed call, by what excludes them."""
+    return _findings(t).groupBy(F.coalesce("excluded_by", F.lit("dead")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first_name"), F.sum("p_size").alias("lines"))
+
+
 @R.add(f"WITH {S.CALLS} SELECT coalesce({_POLICY_SQL}, 'dead') AS verdict, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM calls WHERE dst = 'part:' || p_partkey) GROUP BY 1")
 def dead_policy(t: Tables) -> DataFrame:
     """Uncalled functions by what excludes them: entry points, tests, generated code, public interface; else dead."""

@@ -14,17 +14,14 @@ class Registry:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, sql: str | None = None, name: str | None = None, search_set: Callable[[str], str] | None = None):
-        """Registers a function of Tables under its own name; with `search_set`, which gives that query's SQL, also as NAME_whole, from every hundredth id."""
+    def add(self, sql: str | None = None, name: str | None = None):
+        """Registers a function of Tables, with its SQL, under its own name."""
 
         def register(f: Callable[[Tables], DataFrame]):
             key = name or f.__name__
             self.queries[key] = lambda spark, folder: f(Tables(spark, folder))
             if sql:
                 self.sql[key] = sql
-            if search_set and sql:
-                self.queries[f"{key}_whole"] = lambda spark, folder: f(Tables(spark, folder, search_set=True))
-                self.sql[f"{key}_whole"] = search_set(sql)
             return f
 
         return register

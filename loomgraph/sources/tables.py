@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 class Tables:
-    """Tables of one folder, read as they are asked for: tables.part, tables.lineitem, ... With `search_set`, searches start from every hundredth id, not from a few."""
+    """Tables of one folder, read as they are asked for: tables.part, tables.lineitem, ..."""
 
-    def __init__(self, spark: SparkSession, folder: str, search_set: bool = False):
-        self.spark, self.folder, self.search_set = spark, folder, search_set
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -28,10 +28,10 @@ def calls(t: Tables) -> DataFrame:
     return call_lines(t).distinct()
 
 
-def call_lines(t: Tables) -> DataFrame:
-    """Each line's call, repeats and all, for those who look at one end only."""
+def call_lines(t: Tables, *more: str) -> DataFrame:
+    """Each line's call, repeats and all, for those who look at one end only; with other columns of the line if asked for."""
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    pairs = t.lineitem.select(node_id("part", "l_partkey").alias("src"), F.lead(node_id("part", "l_partkey")).over(w).alias("dst"))
+    pairs = t.lineitem.select(node_id("part", "l_partkey").alias("src"), F.lead(node_id("part", "l_partkey")).over(w).alias("dst"), *more)
     return pairs.where("dst IS NOT NULL AND src <> dst")
 
 

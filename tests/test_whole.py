@@ -1,4 +1,4 @@
-"""Queries over all calls and dependencies, and from the search set (NAME_whole), against plain Python, on graphs where a top-k of partners changes the result."""
+"""Queries over all calls and dependencies, and from the search set, against plain Python, on graphs where a top-k of partners changes the result."""
 
 import pytest
 
@@ -50,23 +50,23 @@ def test_dead_code_over_all_calls(spark, folder):
 def test_chains_over_second_callees(spark, folder):
     back = reach([100, 200], {(b, a) for a, b in CALLS}, 5)
     assert back[100, 1] == 4
-    assert rows(spark, folder, "transitive_callers_whole") == {(f"part:{s}", f"part:{x}", d) for (s, x), d in back.items()}
+    assert rows(spark, folder, "transitive_callers") == {(f"part:{s}", f"part:{x}", d) for (s, x), d in back.items()}
     ends = {b for _, b in CALLS if sum(y == b for _, y in CALLS) >= 3}
     assert ends == {5}
     there = {(f"part:{s}", f"part:{x}", d) for (s, x), d in reach([100, 200], CALLS, 10).items() if x in ends}
-    assert rows(spark, folder, "reachable_pairs_whole") == there
+    assert rows(spark, folder, "reachable_pairs") == there
 
 
 def test_callees_of_the_search_set_to_depth_five(spark, folder):
     out = reach([100, 200], CALLS, 5)
     assert out[200, 8] == 5
-    assert rows(spark, folder, "transitive_callees_whole") == {(f"part:{s}", f"part:{x}", d) for (s, x), d in out.items()}
-    assert rows(spark, folder, "call_chain_shortest_whole") == {("part:100", "part:200", out[100, 200])}
+    assert rows(spark, folder, "transitive_callees") == {(f"part:{s}", f"part:{x}", d) for (s, x), d in out.items()}
+    assert rows(spark, folder, "call_chain_shortest") == {("part:100", "part:200", out[100, 200])}
 
 
 def test_chain_nodes(spark, folder):
     found = rows(spark, folder, "call_chain_nodes")
-    assert {r[:3] for r in found} == rows(spark, folder, "call_chain_shortest_whole")
+    assert {r[:3] for r in found} == rows(spark, folder, "call_chain_shortest")
     for seed, target, hops, chain in found:
         nodes = [int(x.removeprefix("part:")) for x in chain.split(">")]
         assert len(nodes) == hops + 1 and (f"part:{nodes[0]}", f"part:{nodes[-1]}") == (seed, target) and all(p in CALLS for p in zip(nodes, nodes[1:], strict=False))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +28,19 @@ BLOCK = 2048
 #: A text is rejected if the runner-up needs less than this much more than the best.
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
-#: Combining marks belong to their letters: vowel signs, viramas, accents of decomposed texts.
-_MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
-_OTHER = re.compile(rf"(?:[^\w{_MARKS}]|[\d_])+")
+#: Combining marks belong to their letters: vowel signs, viramas, accents of decomposed texts. Most texts have none, so the wider classes are used where they are needed.
+_MARKS = [c for c in map(chr, range(0x300, 0x1F000)) if unicodedata.category(c)[0] == "M"]
+_COMMON_MARKS = "".join(c for c in _MARKS if c < "\U00010000")
+_HAS_MARK, _HAS_RARE = re.compile(f"[{_COMMON_MARKS}]"), re.compile("[\U00010000-\U0001efff]")
+_OTHER = re.compile(r"[\W\d_]+")
+_OTHER_BUT_MARKS, _OTHER_BUT_ALL_MARKS = (re.compile(rf"(?:[^\w{marks}]|[\d_])+") for marks in (_COMMON_MARKS, "".join(_MARKS)))
 
 
 def plain(text: str) -> str:
     """The lower-cased letters of a text with their marks, composed where they can be, and one space for whatever stands between them."""
-    return _OTHER.sub(" ", unicodedata.normalize("NFC", text.lower()))
+    text = unicodedata.normalize("NFC", text.lower())
+    other = _OTHER_BUT_ALL_MARKS if _HAS_RARE.search(text) else _OTHER_BUT_MARKS if _HAS_MARK.search(text) else _OTHER
+    return other.sub(" ", text)
 
 
 def has_letter(text: str) -> bool:

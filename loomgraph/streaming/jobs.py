@@ -33,6 +33,9 @@ def first_seen(events: DataFrame, key: str = "event_id", lateness: str = LATENES
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
 
 
+#: Statuses of items that are over, and how long their state is kept for events that come late.
+ENDED, KEPT_MS = ("succeeded", "dead_letter"), 24 * 3600 * 1000
+
 _NEXT = {
     ("pending", "claimed"), ("retrying", "claimed"), ("claimed", "running"), ("claimed", "succeeded"), ("running", "succeeded"), ("running", "retrying"), ("claimed", "retrying"),
     ("running", "dead_letter"), ("claimed", "dead_letter"), ("dead_letter", "pending"), ("succeeded", "pending"),
@@ -55,11 +58,14 @@ def work_item_states(events: DataFrame) -> DataFrame:
     """(user_id, status, attempts, rejected) of each key after each micro-batch that touches it.
 
     events needs user_id, status, ts and event_id. The state of a key is three values; a claim or run without news for
-    LEASE_MS of processing time is given back as retrying.
+    LEASE_MS of processing time is given back as retrying. The state of an ended item is removed after KEPT_MS without news.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts, rejected = state.get if state.exists else ("pending", 0, 0)
+        if state.hasTimedOut and status in ENDED:
+            state.remove()  # nothing came for so long that its events are over; the row was given when it ended
+            return
         if state.hasTimedOut:
             status = "retrying" if status in ("claimed", "running") else status
         else:
@@ -69,6 +75,8 @@ def work_item_states(events: DataFrame) -> DataFrame:
         state.update((status, attempts, rejected))
         if status in ("claimed", "running"):
             state.setTimeoutDuration(LEASE_MS)
+        elif status in ENDED:
+            state.setTimeoutDuration(KEPT_MS)
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "attempts": [attempts], "rejected": [rejected]})
 
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, status string, attempts long, rejected long", "status string, attempts long, rejected long", "update", GroupStateTimeout.ProcessingTimeTimeout)

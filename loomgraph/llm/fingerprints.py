@@ -189,7 +189,9 @@ def compare_with_edits(docs: DataFrame, lexicon: np.ndarray, key: str = "doc_id"
 
     The edited text has the last third of the code points (rounded down) replaced by as many of the next document's first, or
     all of them. The order of documents and the cases of null keys, equal keys and one document are those of with_neighbours; null texts are
-    empty. Repeated rows with one key and text follow each other.
+    empty. Repeated rows with one key and text follow each other. Very long texts are read whole, each by one task that holds it
+    and its neighbour; an empty table gives no rows; other columns are ignored. Keys are cast to long, so keys that are no
+    numbers raise an error or, without ANSI mode, become null keys.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -316,6 +316,7 @@ def shingle_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     shingle; a null or empty text, or one of white space, has none, is linked with nothing and is its own component. Sets
     link when 100 * intersection >= percent * union. Equal sets are one node, so copies make no pairs. Rows with equal keys
     are rows of their own; null keys don't count as least unless all are null. An empty table gives no rows.
+    Very long texts are read whole, a text at a time; other columns are ignored.
 
     Shingles and sets are known by 64-bit hashes: of 10 ** 9 distinct sets, two would be taken for one with a chance of 3 %.
     """

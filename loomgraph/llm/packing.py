@@ -182,7 +182,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[
     each a sequence of its own, and a tail below a window. Tails fill sequences by patterns; what the rounded counts leave
     is packed in a stream, where alone tails are cut. Only the stream's last part makes sequences below a window, of
     lengths that are powers of two. Offsets run gapless from 0. Repeated rows are packed each; an empty table gives no
-    rows; other columns are ignored. ids_of gives the ids of the pieces.
+    rows; other columns are ignored. Very long texts are encoded whole. ids_of gives the ids of the pieces.
     """
     table = written(tokenise(docs, key, text, paths, window, end), "tokens")
     spark = docs.sparkSession

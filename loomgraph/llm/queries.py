@@ -125,7 +125,8 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near duplicates the document with the least doc_id stays; of its repeated rows one.
 
     Null and empty texts, and those of white space, are groups of their own and stay. Rows of one doc_id with several texts
-    stay or go by key. Null keys stay if no row of their group has a key. An empty table stays empty.
+    stay or go by key. Null keys stay if no row of their group has a key. An empty table stays empty. Very long texts are
+    compared whole; other columns stay as they are.
     """
     ship(spark)
     groups = ngram_join.shingle_groups(docs)
@@ -139,12 +140,13 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents that share a long enough stretch with a benchmark item go.
 
     Null and empty texts share nothing and stay, repeated rows stay or go together; an empty table or benchmark changes nothing.
+    Very long texts are searched whole; other columns stay as they are.
     """
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed: null and empty texts as a single end token, repeated rows as documents of their own; an empty table gives no piece."""
+    """What is left, packed: null and empty texts as a single end token, repeated rows as documents of their own; an empty table gives no piece; very long texts are cut into pieces without loss; other columns go."""
     ship(spark)
     return packing.pack(docs).withColumnRenamed("key", "doc_id")
 

@@ -122,3 +122,35 @@ def identity_keys(schemas: DataFrame) -> DataFrame:
     first = F.try_element_at(F.filter(F.array(*map(F.lit, IDENTITY_KEYS)), lambda k: F.array_contains("strings", k)), F.lit(1))
     named = each.where("attributes IS NOT NULL").select("resource_type", strings.alias("strings"))
     return named.select("resource_type", F.when(first.isNotNull(), F.array(first)).otherwise(F.filter("strings", lambda k: F.rlike(k, F.lit("_(?:name|identifier)$")))).alias("identity_keys"))
+
+
+def decorated_definitions(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line, name, decorators) of Python definitions with decorators, in lower case, without arguments, in their order.
+
+    All decorators since the last statement count, however many lines they take: blank lines, comments and lines inside
+    brackets, told by a running sum, are no statements.
+    """
+    order = Window.partitionBy("repo_id", "path").orderBy("line")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    text = lines(files).where("language = 'python'").withColumn("code", F.regexp_replace("text", r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|#.*$""", ""))
+    net = F.length(F.regexp_replace("code", r"[^(\[{]", "")) - F.length(F.regexp_replace("code", r"[^)\]}]", ""))
+    own = text.withColumn("open", F.coalesce(F.sum(net).over(before), F.lit(0)) > 0).withColumn("decorator", F.when(~F.col("open"), F.lower(_part(r"^\s*@([\w.]+)"))))
+    statement = (F.trim("code") != "") & ~F.col("open") & F.col("decorator").isNull()
+    grouped = own.withColumn("n", F.coalesce(F.sum(statement.cast("int")).over(before), F.lit(0)))
+    above = F.collect_list("decorator").over(Window.partitionBy("repo_id", "path", "n").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    name = _part(r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)")
+    found = grouped.withColumns({"decorators": above, "name": name}).where(statement & F.col("name").isNotNull() & (F.size("decorators") > 0))
+    return found.select("repo_id", "path", "line", "name", "decorators")
+
+
+def resolved_metaclasses(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """found (repo_id, path, line, class, metaclass) with metaclass_path and metaclass_line: the class of that name in the same file, else the only one of the repository, else null.
+
+    classes: repo_id, path, name, line. Of several in one file the last counts; what is before a dot is not looked at.
+    """
+    here = classes.groupBy("repo_id", "path", "name").agg(F.max("line").alias("line"))
+    only = here.groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("far_path"), F.min("line").alias("far_line")).where("n = 1").drop("n")
+    near = here.select("repo_id", "path", "name", F.col("line").alias("near_line"))
+    both = found.withColumn("name", F.element_at(F.split("metaclass", r"\."), -1)).join(near, ["repo_id", "path", "name"], "left").join(only, ["repo_id", "name"], "left")
+    own = F.col("near_line").isNotNull()
+    return both.select("repo_id", "path", "line", "class", "metaclass", F.when(own, F.col("path")).otherwise(F.col("far_path")).alias("metaclass_path"), F.coalesce("near_line", "far_line").alias("metaclass_line"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract, lineage
+from ..functions import extract, lineage, semantics
 from ..sources.files import language_of
 from ..sources.tables import Tables, node_id
 from .registry import Registry
@@ -254,4 +254,34 @@ def dead_without_decorators(t: Tables) -> DataFrame:
     return bare.join(called, "name", "left_anti").select("repo_id", "name")
 
 
+def _roots(t: Tables) -> DataFrame:
+    """A Python file for each supplier: functions under one to four lines of decorators, with arguments over lines, comments between, and decoys; a class with a metaclass that is in the file, in another or nowhere."""
+    k = F.col("s_suppkey").cast("string")
+    shapes = (
+        "@app.route(\n    '/x',\n    methods=['GET'],\n)\n# why\n@Login.Required\n\nasync def f$(): pass\ndef plain$(): pass\n", "x = '@app.route'\n@click.command\n@click.option('--a', help='(')\nclass f$: pass\n",
+        "@other\nx = 1\ndef f$():\n    # @app.get\n    pass\n", "class A:\n    @property\n    @cache(size=(1, 2))\n    def f$(self): pass\n    def plain$(self): pass\n",
+    )
+    kind = F.col("s_suppkey") % 4
+    functions = F.coalesce(*[F.when(kind == i, F.lit(x)) for i, x in enumerate(shapes)])
+    meta = F.when(kind == 0, F.concat(F.lit("class Own"), k, F.lit("(type): pass\nclass M$(B, metaclass=Own"), k, F.lit("): pass\n"))).when(kind == 1, F.concat(F.lit("class M$(metaclass = base.Own"), F.col("s_suppkey") - 1, F.lit("): pass\n"))).otherwise(F.lit("class M$(metaclass=abc.Lost): pass\n"))
+    content = F.replace(F.concat(meta, functions), F.lit("$"), k)
+    return _files(t.supplier, F.lit("repo:roots"), F.concat(F.lit("m"), k, F.lit(".py")), content)
+
+
+@R.add("""SELECT 'm' || s_suppkey || '.py' AS path, 'f' || s_suppkey AS name, line + CASE s_suppkey % 4 WHEN 0 THEN 1 ELSE 0 END AS line, decorators
+FROM supplier JOIN (VALUES (0, 9, 'app.route,login.required'), (1, 5, 'click.command,click.option'), (3, 5, 'property,cache')) d(kind, line, decorators) ON kind = s_suppkey % 4""")
+def decorator_blocks(t: Tables) -> DataFrame:
+    """Decorated definitions with all their decorators, wherever above they begin."""
+    return semantics.decorated_definitions(_roots(t)).select("path", "name", "line", F.array_join("decorators", ",").alias("decorators"))
+
+
+@R.add("""WITH there AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 4 = 0)
+SELECT 'M' || s_suppkey AS class, CASE s_suppkey % 4 WHEN 0 THEN 'm' || s_suppkey || '.py' WHEN 1 THEN (SELECT 'm' || k || '.py' FROM there WHERE k = s_suppkey - 1) END AS metaclass_path FROM supplier""")
+def metaclass_targets(t: Tables) -> DataFrame:
+    """The class that each metaclass is: of the same file, or the only one of that name in the repository."""
+    files = _roots(t)
+    classes = extract.symbols(files).where("kind = 'Class'").select("repo_id", "path", "name", "line")
+    return semantics.resolved_metaclasses(classes, extract.metaclasses(files)).select("class", "metaclass_path")
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -144,10 +144,10 @@ SELECT p_partkey, p_name, total, CASE WHEN total > 150 THEN 150 END AS next_offs
 def dead_code_page(t: Tables) -> DataFrame:
     """The second page of dead functions by name (offset 50, limit 100), with the total and where the next one begins."""
     kept = _findings(t).where("excluded_by IS NULL")
-    total = kept.agg(F.count(F.lit(1)).alias("total"))
-    page = kept.orderBy("p_name", "p_partkey").offset(50).limit(100)
+    total = kept.agg(F.count(F.lit(1)).alias("total"), F.lit("page").alias("of"))
+    page = kept.orderBy("p_name", "p_partkey").offset(50).limit(100).withColumn("of", F.lit("page"))
     more = F.col("total") > 150
-    return page.join(F.broadcast(total)).select("p_partkey", "p_name", "total", F.when(more, F.lit(150)).alias("next_offset"), more.alias("truncated"))
+    return page.join(F.broadcast(total), "of").select("p_partkey", "p_name", "total", F.when(more, F.lit(150)).alias("next_offset"), more.alias("truncated"))
 
 
 @R.add(f"{_FINDINGS} SELECT coalesce(excluded_by, 'dead') AS verdict, count(*) AS n, min(p_name) AS first_name, sum(p_size)::BIGINT AS lines FROM findings GROUP BY 1")

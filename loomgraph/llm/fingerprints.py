@@ -11,26 +11,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, lean, mix, word_hashes
+from .shared import chunks, lean, mix, run_hashes, word_hashes
 
 #: Shares of all documents that a term of the lexicon is found in. A lexicon holds at most (distinct terms of a document
 #: on average) / LEAST_SHARE terms, however many documents there are, so it is safe to broadcast.
 LEAST_SHARE = 0.0005
 MOST_SHARE = 0.2
-#: Random subsets of the lexicon, and of all terms; a subset of level l holds each term with probability 2 ** -l.
-SUBSETS = 32
-WIDE_SUBSETS = 16
+#: Random subsets of the lexicon; a subset of level l holds each term with probability 2 ** -l.
+SUBSETS = 48
 LEVELS = 24
+#: Levels in a fingerprint, from the one at which a subset holds about one of the text's terms. Texts whose numbers of terms differ up to
+#: eight times still have a level in common.
+KEPT = 4
 #: Terms that a task counts before it passes them on, to bound its memory.
 FLUSH = 2_000_000
 #: Documents in a bucket of consecutive keys, and buckets at most.
 BUCKET_ROWS = 5_000
 MAX_BUCKETS = 20_000
-_SEEDS = mix(np.arange(1, SUBSETS + WIDE_SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
-
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, n): the hash of each term and the number of documents with it, over all documents."""
 
@@ -65,30 +66,33 @@ def fit_lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE,
     return np.sort(got.view(np.uint64))
 
 
-def _hashed(terms: np.ndarray, seeds: np.ndarray) -> tuple[int, np.ndarray]:
-    """The level of sorted distinct terms, and for each subset of that level and of the next 16 bits of the hash of its terms in order; 0 for none."""
-    if not len(terms):
-        return 0, np.zeros((2, len(seeds)), np.uint16)
+def _hashed(terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first level of sorted distinct terms, and for each subset of that level and of the next ones 16 bits of the hash of its terms in order; 0 for none."""
     level = min(LEVELS, max(0, round(float(np.log2(len(terms))) - 0.25)))
-    mixed = mix(terms[:, None] ^ seeds[None, :])
-    out = np.zeros((2, len(seeds)), np.uint16)
-    for k in (level, level + 1):
-        subset, at = np.nonzero(((mixed >> np.uint64(64 - k)) == 0).T) if k else tuple(x.ravel() for x in np.indices(mixed.T.shape))
+    mixed = mix(_SEEDS[:, None] ^ terms[None, :])
+    out = np.zeros((KEPT, SUBSETS), np.uint16)
+    # A subset lies within that of the level before.
+    subset, at = np.nonzero(mixed >> np.uint64(64 - level) == 0) if level else tuple(x.ravel() for x in np.indices(mixed.shape))
+    found = mixed[subset, at]
+    for k in range(KEPT):
+        if k:
+            inside = found >> np.uint64(64 - level - k) == 0
+            subset, found = subset[inside], found[inside]
         if not len(subset):
-            continue
+            break
         begin = np.flatnonzero(np.r_[True, subset[1:] != subset[:-1]])
         place = np.arange(len(subset)) - np.repeat(begin, np.diff(np.r_[begin, len(subset)]))
         # Each term's hash counts with its place, so the sum names the sorted list.
-        total = np.add.reduceat(mix(mixed[at, subset] + (place.astype(np.uint64) + np.uint64(1)) * _STEP), begin)
-        out[k - level, subset[begin]] = np.maximum(mix(total) >> np.uint64(48), 1)
+        total = np.add.reduceat(mix(found + (place.astype(np.uint64) + np.uint64(1)) * _STEP), begin)
+        out[k, subset[begin]] = np.maximum(mix(total) >> np.uint64(48), 1)
     return level, out
 
 
 def fingerprint_terms(words: np.ndarray, lexicon: np.ndarray) -> str:
-    """The fingerprint of a text's words: two parts, of its terms in the lexicon and of all its terms, each with a level and 16 bits for each subset of that level and of the next; z for a text without words.
+    """The fingerprint of a text's words: of its terms in the lexicon alone, a level and 16 bits for each subset of that level and of the next three.
 
-    The level is the one at which a subset holds about one of the text's terms, so that each hash stands on few terms. All
-    texts have both parts: where a short text has few terms in the band or none, the second one tells.
+    A text with words but none in the lexicon has the letter e and a hash of its sorted distinct terms, which is like nothing but
+    itself; a text without words has z.
     """
     terms = np.unique(words)
     if not len(terms):
@@ -97,30 +101,28 @@ def fingerprint_terms(words: np.ndarray, lexicon: np.ndarray) -> str:
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
         band = terms[lexicon[at] == terms]
-    return "".join(f"{level:02d}" + short.astype(">u2").tobytes().hex() for level, short in (_hashed(band, _SEEDS[:SUBSETS]), _hashed(terms, _SEEDS[SUBSETS:])))
+    if not len(band):
+        return f"e{int(run_hashes(terms, np.array([0]), np.array([len(terms)]))[0]):016x}"
+    level, short = _hashed(band)
+    return f"{level:02d}" + short.astype(">u2").tobytes().hex()
 
 
-def _parts(f: str) -> list[tuple[int, np.ndarray]]:
-    cut = 2 + 8 * SUBSETS
-    return [(int(p[:2]), np.frombuffer(bytes.fromhex(p[2:]), dtype=">u2").reshape(2, -1)) for p in (f[:cut], f[cut:])]
+def _part(f: str) -> tuple[int, np.ndarray]:
+    return int(f[:2]), np.frombuffer(bytes.fromhex(f[2:]), dtype=">u2").reshape(KEPT, SUBSETS)
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of subsets with equal hashes among those where either text has a term, over the levels that both have and both parts."""
+    """0 to 1: the share of subsets with equal hashes among those where either text has a term, over the levels that both have; 0 if they have none in common."""
     if a == b:
         return 1.0
-    if "z" in (a, b):
+    if a[0] in "ez" or b[0] in "ez":
         return 0.0
+    (la, x), (lb, y) = _part(a), _part(b)
     same = either = 0
-    for (la, x), (lb, y) in zip(_parts(a), _parts(b), strict=True):
-        levels = range(max(la, lb), min(la, lb) + 2)
-        for level in levels:
-            p, q = x[level - la], y[level - lb]
-            there = (p > 0) | (q > 0)
-            same, either = same + int(((p == q) & there).sum()), either + int(there.sum())
-        if not levels:
-            # The sparser one's subsets don't tell what they share, so they count as different.
-            either += int(((x[0] > 0) | (y[0] > 0)).sum())
+    for level in range(max(la, lb), min(la, lb) + KEPT):
+        p, q = x[level - la], y[level - lb]
+        there = (p > 0) | (q > 0)
+        same, either = same + int(((p == q) & there).sum()), either + int(there.sum())
     return same / either if either else 0.0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("code", "impact", "repositories", "content", "status", "reducers", "state", "surfaces", "extraction", "semantics", "lineage", "workflows", "structure", "infrastructure", "stores", "apis", "embedded")
+MODULES = ("code", "impact", "repositories", "content", "status", "reducers", "state", "surfaces", "extraction", "semantics", "lineage", "workflows", "structure", "infrastructure", "stores", "apis", "embedded", "delivery")
 
 
 def _modules():

@@ -1,14 +1,15 @@
 """YAML files as a table of key paths and values, and what workflow files say.
 
 Lines become nodes with a level by their column; a node's ancestors are, for each smaller level, the last node before it that
-is not deeper. One window over a document finds them all.
+is not deeper. One pass over a file's nodes finds them all, where the file lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of indentation that are followed; deeper nodes are given with kind too_deep and the keys above that.
@@ -29,25 +30,86 @@ def _unquoted(c: Column) -> Column:
     return F.when(quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(F.regexp_replace(c, r"\s+#.*$|^#.*$", ""))
 
 
-def _nodes(files: DataFrame) -> DataFrame:
-    """(repo_id, path, document, line, part, level, key, value, raw, comment): the nodes of each line, items of lists before what they hold."""
-    text = files.where(F.col("content").isNotNull()).select("repo_id", "path", F.posexplode(F.split("content", "\r?\n")).alias("i", "raw"))
-    lines = text.where(F.trim("raw") != "").withColumn("line", F.col("i") + 1)
-    cut = F.rlike("raw", F.lit(r"^---(?:\s|$)"))
-    numbered = lines.withColumn("document", F.sum(cut.cast("int")).over(Window.partitionBy("repo_id", "path").orderBy("line"))).where(~cut & ~F.rlike("raw", F.lit(r"^\.\.\.\s*$|^%")))
-    indent = F.length(F.regexp_extract("raw", r"^( *)", 1))
-    body = F.regexp_extract("raw", r"^ *(.*?)\s*$", 1)
-    dashes = F.regexp_extract(body, r"^((?:-(?: +|$))*)", 1)
-    rest = F.substring(body, F.length(dashes) + 1, F.length(body))
-    columns = F.filter(F.sequence(F.lit(0), F.greatest(F.length(dashes) - 1, F.lit(0))), lambda i: F.substring(dashes, i + 1, F.lit(1)) == "-")
-    key = F.regexp_extract(rest, _KEY, 1)
-    said = F.when(key != "", F.coalesce(F.regexp_extract(rest, _KEY, 2), F.lit(""))).otherwise(rest)
-    kind = "array<struct<level:int,key:string,value:string>>"
-    items = F.transform(columns, lambda i: F.struct((2 * (indent + i) + 1).alias("level"), F.lit(_LIST).alias("key"), F.lit(None).cast("string").alias("value"))).cast(kind)
-    held = F.array(F.struct((2 * (indent + F.length(dashes))).alias("level"), F.when(key != "", _unquoted(key)).alias("key"), said.alias("value"))).cast(kind)
-    comment = F.startswith(body, F.lit("#"))
-    each = numbered.select("repo_id", "path", "document", "line", "raw", comment.alias("comment"), F.posexplode(F.when(rest == "", items).otherwise(F.concat(items, held))).alias("part", "n"))
-    return each.select("repo_id", "path", "document", "line", "part", "raw", "comment", "n.level", "n.key", "n.value")
+def _let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """then(c) with c computed once, however often it is named."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
+_NODE = "struct<document:int,line:int,part:int,raw:string,comment:boolean,level:int,key:string,value:string,header:boolean,cut:boolean>"
+_FOUND = f"struct<n:{_NODE},up:array<{_NODE}>,block:array<string>>"
+#: Nodes that are folded at a time, so a long file's results aren't copied for each of its nodes.
+_BLOCK = 256
+
+
+def _empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _nodes(content: Column) -> Column:
+    """The nodes of a file's lines as an array of _NODE, items of lists before what they hold; a line that begins a document is a node with cut."""
+    found = F.filter(F.transform(F.split(content, "\r?\n"), lambda raw, i: F.struct((i + 1).alias("line"), raw.alias("raw"))), lambda x: F.trim(x["raw"]) != "")
+    found = F.transform(found, lambda x: F.struct(
+        x["line"].alias("line"), x["raw"].alias("raw"), F.rlike(x["raw"], F.lit(r"^---(?:\s|$)")).alias("cut"),
+        F.length(F.regexp_extract(x["raw"], r"^( *)", 1)).alias("indent"), F.regexp_extract(x["raw"], r"^ *(.*?)\s*$", 1).alias("body"),
+    ))
+    found = F.filter(found, lambda x: x["cut"] | ~F.rlike(x["raw"], F.lit(r"^\.\.\.\s*$|^%")))
+    found = F.transform(found, lambda x: F.struct(x.alias("l"), F.regexp_extract(x["body"], r"^((?:-(?: +|$))*)", 1).alias("dashes")))
+    found = F.transform(found, lambda x: F.struct(x["l"].alias("l"), x["dashes"].alias("dashes"), F.substring(x["l"]["body"], F.length(x["dashes"]) + 1, F.length(x["l"]["body"])).alias("rest")))
+    found = F.transform(found, lambda x: F.struct(x["l"].alias("l"), x["dashes"].alias("dashes"), x["rest"].alias("rest"), F.regexp_extract(x["rest"], _KEY, 1).alias("key")))
+
+    def node(x: Column, part: Column, level: Column, key: Column, value: Column, cut: bool = False) -> Column:
+        header = F.rlike(F.coalesce(value, F.lit("")), F.lit(r"^[|>][-+0-9]*\s*(?:#.*)?$"))
+        return F.struct(F.lit(0), x["l"]["line"], part, x["l"]["raw"], F.startswith(x["l"]["body"], F.lit("#")), level, key, value, header, F.lit(cut)).cast(_NODE)
+
+    def each(x: Column) -> Column:
+        none = F.lit(None).cast("string")
+        columns = F.filter(F.sequence(F.lit(0), F.greatest(F.length(x["dashes"]) - 1, F.lit(0))), lambda i: F.substring(x["dashes"], i + 1, F.lit(1)) == "-")
+        items = F.transform(columns, lambda i, part: node(x, part, 2 * (x["l"]["indent"] + i) + 1, F.lit(_LIST), none))
+        said = F.when(x["key"] != "", F.coalesce(F.regexp_extract(x["rest"], _KEY, 2), F.lit(""))).otherwise(x["rest"])
+        held = _let(said, lambda v: node(x, F.size(columns), 2 * (x["l"]["indent"] + F.length(x["dashes"])), F.when(x["key"] != "", _unquoted(x["key"])), v))
+        return F.when(x["l"]["cut"], F.array(node(x, F.lit(0), F.lit(-1), none, none, True))).when(x["rest"] == "", items).otherwise(F.concat(items, F.array(held)))
+
+    return F.flatten(F.transform(found, each))
+
+
+def _folded(nodes: Column, state: Column, kind: str, out: str, step: Callable[[Column, Column], Column]) -> Column:
+    """The array of out that step makes of (state, found) and each node, in blocks."""
+    whole = f"struct<state:{kind},found:array<{out}>>"
+    parts = f"struct<state:{kind},found:array<array<{out}>>>"
+
+    def block(all_: Column, acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(all_, i * _BLOCK + 1, F.lit(_BLOCK)), F.struct(acc["state"], _empty(out)).cast(whole), lambda a, n: step(a, n).cast(whole))
+        return _let(own, lambda r: F.struct(r["state"], F.concat(acc["found"], F.array(r["found"]))).cast(parts))
+
+    def over(all_: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / _BLOCK).cast("int"))
+        return F.aggregate(blocks, F.struct(state, F.array().cast(f"array<array<{out}>>")).cast(parts), lambda acc, i: block(all_, acc, i))["found"]
+
+    return F.flatten(_let(nodes, over))
+
+
+def _placed(nodes: Column) -> Column:
+    """Each node with its document and the nodes that hold it, outermost first; what stands below a block's head is given with the head, as its lines."""
+    kind = f"struct<document:int,stack:array<{_NODE}>>"
+
+    def step(acc: Column, n: Column) -> Column:
+        document = acc["state"]["document"] + n["cut"].cast("int")
+        placed = n.withField("document", document)
+        held = F.filter(acc["state"]["stack"], lambda a: a["level"] < n["level"])
+        stack = F.when(n["cut"], _empty(_NODE)).when(n["comment"], acc["state"]["stack"]).otherwise(F.concat(held, F.array(placed)))
+        one = F.struct(placed, F.filter(acc["state"]["stack"], lambda a: a["level"] < F.least(n["level"], F.lit(_LEVELS))), _empty("string")).cast(_FOUND)
+        return F.struct(F.struct(document, stack).cast(kind), F.when(n["cut"], acc["found"]).otherwise(F.concat(acc["found"], F.array(one))))
+
+    # Backwards, the lines of a block come before its head.
+    def text(acc: Column, x: Column) -> Column:
+        inside = F.exists(x["up"], lambda a: a["header"])
+        lines = F.when(inside & (x["n"]["part"] == 0), F.concat(acc["state"]["found"], F.array(F.array(x["n"]["raw"])))).otherwise(acc["state"]["found"])
+        real, head = ~inside & ~x["n"]["comment"], x["n"]["header"]
+        one = F.when(head, x.withField("block", F.reverse(F.flatten(acc["state"]["found"])))).otherwise(x)
+        return F.struct(F.struct(F.when(real & head, F.array().cast("array<array<string>>")).otherwise(lines)), F.when(real, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]))
+
+    placed = _folded(nodes, F.struct(F.lit(0), _empty(_NODE)).cast(kind), kind, _FOUND, step)
+    return _folded(F.reverse(placed), F.struct(F.array().cast("array<array<string>>")), "struct<found:array<array<string>>>", _FOUND, text)
 
 
 def paths(files: DataFrame) -> DataFrame:
@@ -57,26 +119,17 @@ def paths(files: DataFrame) -> DataFrame:
     (value: its lines without the first one's indentation and without blank lines), map (no value of its own), alias, anchor (value: what follows), open (a flow that
     goes on in the next line) or too_deep. Flows of one line are taken apart
     into scalars, with their place in `items`; what lies deeper in them than three flows is too_deep, with its text. Comments, blank
-    lines and null contents give no rows; what is no YAML gives scalars without keys.
+    lines and null contents give no rows; what is no YAML gives scalars without keys. Each file is read where it lies, by one pass over
+    its nodes with the nodes that hold the next one; nothing of it is sorted or joined.
     """
-    nodes = _nodes(files)
-    # Inside a document only lines that are no comments can hold others.
-    before = Window.partitionBy("repo_id", "path", "document").orderBy("line", "part").rowsBetween(Window.unboundedPreceding, -1)
-    header = F.rlike(F.coalesce("value", F.lit("")), F.lit(r"^[|>][-+0-9]*\s*(?:#.*)?$"))
-    node = F.struct("line", "part", "level", "key", header.alias("header"))
-    above = [F.last(F.when(~F.col("comment") & (F.col("level") <= d), node), ignorenulls=True).over(before) for d in range(_LEVELS)]
-    near = F.filter(F.slice(F.array(*above), F.lit(1), F.least("level", F.lit(_LEVELS))), F.isnotnull)
-    found = nodes.select("repo_id", "path", "document", "line", "part", "raw", "comment", "level", "key", "value", header.alias("header"), F.array_distinct(near).alias("up"))
-    # What stands below a block's head is its text.
-    head = F.get(F.filter("up", lambda a: a["header"]), F.lit(0))
-    found = found.withColumns({"head_line": head["line"], "head_part": head["part"]})
-    real = found.where("head_line IS NULL AND NOT comment")
-    text = found.where("head_line IS NOT NULL AND part = 0").groupBy("repo_id", "path", "document", F.col("head_line").alias("line")).agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("at"), "raw"))).alias("ls"))
-    first = F.length(F.regexp_extract(F.get("ls", F.lit(0))["raw"], r"^( *)", 1))
-    text = text.select("repo_id", "path", "document", "line", F.array_join(F.transform("ls", lambda x: F.substring(x["raw"], first + 1, F.length(x["raw"]))), "\n").alias("block"))
-    both = real.join(text, ["repo_id", "path", "document", "line"], "left")
-    own = F.when(F.col("key").isNotNull(), F.array("key")).otherwise(F.array().cast("array<string>"))
-    keys = F.concat(F.transform("up", lambda a: a["key"]), own)
+    # A given number, as tables of small files would be put together into few tasks by their bytes.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = files.where(F.col("content").isNotNull()).select("repo_id", "path", "content").repartition(tasks, "repo_id", "path")
+    found = own.select("repo_id", "path", F.inline(_placed(_nodes(F.col("content"))))).select("repo_id", "path", "n.*", "up", "block")
+    first = F.length(F.regexp_extract(F.get("block", F.lit(0)), r"^( *)", 1))
+    block = F.array_join(F.transform("block", lambda x: F.substring(x, first + 1, F.length(x))), "\n")
+    named = F.when(F.col("key").isNotNull(), F.array("key")).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(F.transform("up", lambda a: a["key"]), named)
     items = F.concat(F.transform(F.filter("up", lambda a: a["key"] == _LIST), lambda a: a["line"]), F.when(F.col("key") == _LIST, F.array("line")).otherwise(F.array().cast("array<int>")))
     v = F.trim(F.coalesce("value", F.lit("")))
     kind = (
@@ -84,26 +137,28 @@ def paths(files: DataFrame) -> DataFrame:
         .when(F.rlike(v, F.lit(_FLOW_LIST)), "list").when(F.rlike(v, F.lit(_FLOW_PAIRS)), "pairs").when(F.rlike(v, F.lit(r"^[\[{]")) & ~F.rlike(v, F.lit(r"[\]}]\s*(?:#.*)?$")), "open")
         .when((v == "") | F.rlike(v, F.lit("^#")), "map").otherwise("scalar")
     )
-    value = F.when(kind == "block", F.coalesce("block", F.lit(""))).when(kind == "anchor", F.regexp_replace(v, r"^&\S+\s*", "")).when(kind == "map", F.lit(None).cast("string")).otherwise(_unquoted(v))
-    rows = both.select("repo_id", "path", "document", "line", "part", keys.alias("keys"), items.alias("items"), value.alias("value"), kind.alias("kind"), v.alias("flow"))
-    columns = ["repo_id", "path", "document", "line", "keys", "items", "value", "kind"]
-    out, flows = rows.where("kind NOT IN ('list', 'pairs')").select(*columns), rows.where("kind IN ('list', 'pairs')")
+    value = F.when(kind == "block", F.coalesce(block, F.lit(""))).when(kind == "anchor", F.regexp_replace(v, r"^&\S+\s*", "")).when(kind == "map", F.lit(None).cast("string")).otherwise(_unquoted(v))
+    flow = "struct<keys:array<string>,items:array<int>,value:string,kind:string,flow:string>"
+    rows = F.array(F.struct(keys, items, value, kind, v).cast(flow))
     for _ in range(_FLOWS):
-        flows = _unfolded(flows)
-        out = out.unionByName(flows.where("kind = 'scalar'").select(*columns))
-        flows = flows.where("kind <> 'scalar'")
-    return out.unionByName(flows.withColumns({"value": F.col("flow"), "kind": F.lit("too_deep")}).select(*columns))
-
-
-def _unfolded(flows: DataFrame) -> DataFrame:
-    """What stands in flows, a row each; those that are flows again have kind list or pairs."""
-    inside = F.split(F.regexp_extract("flow", r"^[\[{](.*)[\]}]", 1), _COMMA)
-    each = flows.withColumn("pair", F.col("kind") == "pairs").select("*", F.posexplode(F.filter(inside, lambda x: F.trim(x) != "")).alias("nth", "x"))
-    own = F.when(F.col("pair"), _unquoted(F.trim(F.regexp_extract("x", r"^(.*?)\s*:(?:\s|$)", 1)))).otherwise(F.lit(_LIST))
-    said = F.trim(F.when(F.col("pair"), F.coalesce(F.regexp_extract("x", r":(?:\s+(.*))?$", 1), F.lit(""))).otherwise(F.col("x")))
-    kind = F.when(F.rlike(said, F.lit(_FLOW_LIST)), "list").when(F.rlike(said, F.lit(_FLOW_PAIRS)), "pairs").otherwise("scalar")
-    items = F.when(F.col("pair"), F.col("items")).otherwise(F.concat("items", F.array("nth")))
-    return each.select("repo_id", "path", "document", "line", F.concat("keys", F.array(own)).alias("keys"), items.alias("items"), _unquoted(said).alias("value"), kind.alias("kind"), said.alias("flow"))
+        rows = F.flatten(F.transform(rows, lambda x: F.when(x["kind"].isin("list", "pairs"), _unfolded(x, flow)).otherwise(F.array(x))))
+    over = F.transform(rows, lambda x: F.when(x["kind"].isin("list", "pairs"), x.withField("value", x["flow"]).withField("kind", F.lit("too_deep"))).otherwise(x))
+    return found.select("repo_id", "path", "document", "line", F.inline(over)).select("repo_id", "path", "document", "line", "keys", "items", "value", "kind")
+
+
+def _unfolded(flow: Column, type_: str) -> Column:
+    """What stands in a flow, as an array; those that are flows again have kind list or pairs."""
+    pair = flow["kind"] == "pairs"
+    inside = F.filter(F.split(F.regexp_extract(flow["flow"], r"^[\[{](.*)[\]}]", 1), _COMMA), lambda x: F.trim(x) != "")
+
+    def each(x: Column, nth: Column) -> Column:
+        own = F.when(pair, _unquoted(F.trim(F.regexp_extract(x, r"^(.*?)\s*:(?:\s|$)", 1)))).otherwise(F.lit(_LIST))
+        text = F.trim(F.when(pair, F.coalesce(F.regexp_extract(x, r":(?:\s+(.*))?$", 1), F.lit(""))).otherwise(x))
+        items = F.when(pair, flow["items"]).otherwise(F.concat(flow["items"], F.array(nth)))
+        kind = lambda said: F.when(F.rlike(said, F.lit(_FLOW_LIST)), "list").when(F.rlike(said, F.lit(_FLOW_PAIRS)), "pairs").otherwise("scalar")
+        return _let(text, lambda said: F.struct(F.concat(flow["keys"], F.array(own)), items, _unquoted(said), kind(said), said).cast(type_))
+
+    return F.transform(inside, each)
 
 
 def _at(*keys: str | None) -> Column:

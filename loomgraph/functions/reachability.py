@@ -1,7 +1,7 @@
 """Which infrastructure artifacts are used: Terraform modules, Helm charts, Ansible roles, Kustomize folders and Compose services, each judged by itself.
 
 References that say their target outright are joined by name. Of interpolated ones the literal parts are kept: they are
-joined by the first letters of the longest, then held against the whole pattern; and any word of their file may be what is filled in.
+joined by what they begin or end with, else by the longest, then held against the whole pattern; and any word of their file may be what is filled in.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .extract import lines
 
-#: Letters of a literal that artifacts are looked up by.
-GRAM = 3
 _HOLE = r"\$\{[^}]*\}|\{\{[^}]*\}\}|\$[A-Z_]+"
 _TARGET = rf"(?:{_HOLE}|[^\s\"'`,;{{}}$])+"
 # Confidence by reachability.
@@ -73,6 +71,25 @@ def _pattern(target: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(parts, "[^/]*"), F.lit("$"))
 
 
+def candidates(own: DataFrame, loose: DataFrame) -> DataFrame:
+    """(family, name, pattern): names with the patterns of interpolated references (family, target) of their family whose literal they hold whole, where it must stand.
+
+    The literal is what a reference begins with, else what it ends with, else its longest part. Names are cut to the lengths that the
+    literals of a kind have, so both sides are equal in whole and names with the same first letters don't all meet.
+    """
+    parts = F.split("target", _HOLE, -1)
+    longest = F.get(F.array_sort(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), F.lit(0))["p"]
+    first, last = F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.nullif(F.element_at(parts, -1), F.lit(""))
+    at = F.when(first.isNotNull(), "start").when(last.isNotNull(), "end").otherwise("inside")
+    keyed = loose.select("family", _pattern(F.col("target")).alias("pattern"), at.alias("at"), F.coalesce(first, last, longest).alias("literal")).where("literal IS NOT NULL").distinct()
+    lengths = keyed.select("family", "at", F.length("literal").alias("n")).distinct()
+    names = own.select("family", "name").distinct().join(F.broadcast(lengths), "family").where(F.length("name") >= F.col("n"))
+    ends = F.length("name") - F.col("n") + 1
+    piece = lambda i: F.substring(F.col("name"), i, F.col("n"))
+    pieces = F.when(F.col("at") == "start", F.array(piece(F.lit(1)))).when(F.col("at") == "end", F.array(piece(ends))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), ends), piece)))
+    return names.select("family", "name", "at", F.explode(pieces).alias("literal")).join(keyed, ["family", "at", "literal"]).select("family", "name", "pattern")
+
+
 def reachability(files: DataFrame) -> DataFrame:
     """(family, repo_id, artifact, name, reachability, confidence) of each artifact in files (repo_id, path, language, content).
 
@@ -88,11 +105,7 @@ def reachability(files: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z0-9_.-]+)"), F.lit(1)))
     named = files.join(at, ["repo_id", "path"]).select("family", F.explode(words).alias("name")).distinct()
     # By literal parts.
-    literals = F.filter(F.split("target", _HOLE, -1), lambda p: p != "")
-    longest = F.get(F.array_sort(F.transform(literals, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), F.lit(0))["p"]
-    keyed = loose.select("family", _pattern(F.col("target")).alias("pattern"), F.substring(longest, 1, GRAM).alias("gram")).where("gram IS NOT NULL").distinct()
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - n + 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, n)))))
-    fits = own.select("family", "name").distinct().select("family", "name", F.explode(grams).alias("gram")).join(keyed, ["family", "gram"]).where(F.rlike("name", F.col("pattern"))).select("family", "name")
+    fits = candidates(own, loose).where(F.rlike("name", F.col("pattern"))).select("family", "name")
     maybe = named.unionByName(fits).distinct()
     both = own.join(used.withColumn("u", F.lit(True)), ["family", "name"], "left").join(maybe.withColumn("m", F.lit(True)), ["family", "name"], "left")
     level = F.when(F.col("u"), "used").when(F.col("m"), "ambiguous").otherwise("unused")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from loomgraph.functions import reachability
 from loomgraph.operators import traverse
 
 
@@ -43,3 +44,12 @@ def test_chains_to_one_function_are_searched_from_it(spark, written):
     found = {r["node"]: (r["depth"], r["path"]) for r in traverse.shortest_paths_to(spark.createDataFrame([("t",)], "target string"), edges, 5).collect()}
     assert found == {"t": (0, ["t"]), "b": (1, ["b", "t"]), "c": (1, ["c", "t"])} | {f"s{i:02}": (2, [f"s{i:02}", "b", "t"]) for i in range(100)}
     assert max(written[1:]) == 100
+
+
+def test_names_meet_only_references_whose_literal_they_hold(spark):
+    # A thousand names and as many references share their first letters; each reference fits one name.
+    own = spark.createDataFrame([("helm", f"mod{i}") for i in range(1000, 2000)], "family string, name string")
+    said = spark.createDataFrame([("helm", t) for i in range(1000, 2000) for t in (f"mod{i}${{v}}", f"${{v}}od{i}", f"${{v}}d{i}${{w}}")] + [("helm", "${v}"), ("helm", "modx${v}"), ("terraform", "mod1${v}")], "family string, target string")
+    got = reachability.candidates(own, said).where("name RLIKE pattern")
+    assert got.count() == reachability.candidates(own, said).count() == 3000
+    assert {(r["name"], r["n"]) for r in got.groupBy("name").agg({"*": "count"}).toDF("name", "n").collect()} == {(f"mod{i}", 3) for i in range(1000, 2000)}

@@ -49,18 +49,19 @@ def _satisfied(candidates: DataFrame, atoms: DataFrame, packs: RulePacks) -> Dat
     """(candidate, pack, requirement) that have enough atoms which fit all selectors of the requirement.
 
     An atom's fields are rows; those that selectors name are counted for each requirement, and an atom fits if as many fit as there are
-    selectors. An atom without any such field is gone after the join; requirements without a selector count all atoms.
+    selectors. An atom without any such field is gone after the join; requirements without a selector count all atoms. Tables of packs
+    are broadcast: they have a few rows for each pack, and all candidates would meet in a task for each pack.
     """
     own = candidates.select("candidate", "pack")
     needed = packs.selectors.groupBy("pack", "requirement").agg(F.count(F.lit(1)).alias("needed"))
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ATOM_FIELDS]))
     said = atoms.select("candidate", "atom", fields.alias("f")).select("candidate", "atom", "f.field", "f.value").join(own, "candidate")
-    fits = said.join(packs.selectors, ["pack", "field", "value"]).groupBy("candidate", "pack", "requirement", "atom").agg(F.count(F.lit(1)).alias("fitting"))
-    full = fits.join(needed, ["pack", "requirement"]).where("fitting = needed").select("candidate", "pack", "requirement", "atom")
+    fits = said.join(F.broadcast(packs.selectors), ["pack", "field", "value"]).groupBy("candidate", "pack", "requirement", "atom").agg(F.count(F.lit(1)).alias("fitting"))
+    full = fits.join(F.broadcast(needed), ["pack", "requirement"]).where("fitting = needed").select("candidate", "pack", "requirement", "atom")
     loose = packs.requirements.join(packs.selectors, ["pack", "requirement"], "left_anti")
-    any_ = atoms.select("candidate", "atom").join(own, "candidate").join(loose.select("pack", "requirement"), "pack").select("candidate", "pack", "requirement", "atom")
+    any_ = atoms.select("candidate", "atom").join(own, "candidate").join(F.broadcast(loose.select("pack", "requirement")), "pack").select("candidate", "pack", "requirement", "atom")
     counted = full.unionByName(any_).groupBy("candidate", "pack", "requirement").agg(F.count_distinct("atom").alias("found"))
-    return counted.join(packs.requirements, ["pack", "requirement"]).where("found >= min_count").select("candidate", "pack", "requirement")
+    return counted.join(F.broadcast(packs.requirements), ["pack", "requirement"]).where("found >= min_count").select("candidate", "pack", "requirement")
 
 
 def evaluate(candidates: DataFrame, atoms: DataFrame, packs: RulePacks) -> DataFrame:
@@ -71,8 +72,8 @@ def evaluate(candidates: DataFrame, atoms: DataFrame, packs: RulePacks) -> DataF
     structural_mismatch and lost_tie_break; a candidate whose pack isn't known has unknown_pack.
     """
     needed = packs.requirements.where("min_count > 0").groupBy("pack").agg(F.count(F.lit(1)).alias("requirements"))
-    met = _satisfied(candidates, atoms, packs).join(packs.requirements.where("min_count > 0"), ["pack", "requirement"], "left_semi").groupBy("candidate", "pack").agg(F.count(F.lit(1)).alias("met"))
-    both = candidates.join(packs.packs, "pack", "left").join(needed, "pack", "left").join(met, ["candidate", "pack"], "left")
+    met = _satisfied(candidates, atoms, packs).join(F.broadcast(packs.requirements.where("min_count > 0")), ["pack", "requirement"], "left_semi").groupBy("candidate", "pack").agg(F.count(F.lit(1)).alias("met"))
+    both = candidates.join(F.broadcast(packs.packs), "pack", "left").join(F.broadcast(needed), "pack", "left").join(met, ["candidate", "pack"], "left")
     low = F.when(F.col("confidence").isNull() | (F.col("confidence") < F.col("min_confidence")), "low_confidence")
     lacking = F.when(F.coalesce("met", F.lit(0)) < F.coalesce("requirements", F.lit(0)), "structural_mismatch")
     unknown = F.when(F.col("min_confidence").isNull(), "unknown_pack")
@@ -86,7 +87,7 @@ def evaluate(candidates: DataFrame, atoms: DataFrame, packs: RulePacks) -> DataF
 def match_counts(candidates: DataFrame, atoms: DataFrame, packs: RulePacks) -> DataFrame:
     """(candidate, pack, rule, matches) of match rules, in the order of priority and name: the candidate's atoms, bounded by the rule."""
     n = atoms.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"))
-    each = candidates.select("candidate", "pack").join(packs.rules.where("kind = 'match'"), "pack").join(n, "candidate", "left")
+    each = candidates.select("candidate", "pack").join(F.broadcast(packs.rules.where("kind = 'match'")), "pack").join(n, "candidate", "left")
     found = F.coalesce("n", F.lit(0))
     order = F.row_number().over(Window.partitionBy("candidate", "pack").orderBy("priority", "rule"))
     return each.select("candidate", "pack", "rule", order.alias("place"), F.when(F.col("max_matches") > 0, F.least(found, F.col("max_matches"))).otherwise(found).cast("long").alias("matches"))

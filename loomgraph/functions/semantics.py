@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .extract import lines
 
 
@@ -83,7 +84,8 @@ def go_roots(files: DataFrame) -> DataFrame:
         return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda n: F.struct(n.alias("name"), F.lit(root).alias("root")))
 
     found = F.concat(*[named(*r) for r in GO_ROOTS])
-    return lines(files).where("language = 'go'").select("repo_id", "path", F.inline(found)).where("name <> 'func'").distinct()
+    # Dealt by file, equal rows meet without a further shuffle, and a task holds a share of the files whatever their bytes.
+    return lines(spread(files.where("language = 'go'"), "repo_id", "path")).select("repo_id", "path", F.inline(found)).where("name <> 'func'").distinct()
 
 
 def controllers(files: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Columns of indentation that are followed; deeper nodes are given with kind too_deep and the keys above that.
 COLUMNS = 32
 #: A node's level is twice its column, and one more for a list's item, which may stand in its key's own column.
@@ -122,9 +124,7 @@ def paths(files: DataFrame) -> DataFrame:
     lines and null contents give no rows; what is no YAML gives scalars without keys. Each file is read where it lies, by one pass over
     its nodes with the nodes that hold the next one; nothing of it is sorted or joined.
     """
-    # A given number, as tables of small files would be put together into few tasks by their bytes.
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = files.where(F.col("content").isNotNull()).select("repo_id", "path", "content").repartition(tasks, "repo_id", "path")
+    own = spread(files.where(F.col("content").isNotNull()).select("repo_id", "path", "content"), "repo_id", "path")
     found = own.select("repo_id", "path", F.inline(_placed(_nodes(F.col("content"))))).select("repo_id", "path", "n.*", "up", "block")
     first = F.length(F.regexp_extract(F.get("block", F.lit(0)), r"^( *)", 1))
     block = F.array_join(F.transform("block", lambda x: F.substring(x, first + 1, F.length(x))), "\n")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 #: Brackets inside brackets, and queries over queries, that are followed; what lies deeper is reported.
 DEPTH = 48
@@ -64,7 +64,8 @@ def _filled(text: Column, pieces: Column) -> Column:
 def _queries(models: DataFrame, model: str, sql: str) -> DataFrame:
     """(model, pieces, query, body, scope, level) of the queries of each text: scope lists a query and those around it, level is 0 for those that read tables only."""
     # Each step is written: the optimizer would move a step's expression into the lambdas of the next and have it computed for each element.
-    cutout = cut(models.where(F.col(sql).isNotNull()).select(F.col(model).alias("model"), _cut_out(_flat(F.col(sql))).alias("c")))
+    texts = spread(models.where(F.col(sql).isNotNull()).select(F.col(model).alias("model"), F.col(sql).alias("sql")), "model")
+    cutout = cut(texts.select("model", _cut_out(_flat(F.col("sql"))).alias("c")))
     root = F.array(F.struct(F.lit("").alias("mark"), F.col("c.text").alias("body")))
     is_query = lambda p: F.startswith(p["mark"], F.lit(f"{_OPEN}q"))
     rows = cutout.select("model", F.col("c.pieces").alias("pieces"), F.concat(root, F.filter("c.pieces", is_query)).alias("queries"))
@@ -78,9 +79,12 @@ def _queries(models: DataFrame, model: str, sql: str) -> DataFrame:
     )))
     rows = cut(rows.withColumns({"parents": parents, "ctes": names}))
 
+    # No query is around itself or reads itself, so no text has more steps than queries.
+    rounds = F.least(F.size("queries"), F.lit(DEPTH))
+
     def scope(mark: Column) -> Column:
         up = lambda s, _: F.when(F.element_at(s, -1) == "", s).otherwise(F.concat(s, F.array(F.coalesce(F.try_element_at("parents", F.element_at(s, -1)), F.lit("")))))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.array(mark), up)
+        return F.aggregate(F.sequence(F.lit(1), rounds), F.array(mark), up)
 
     rows = cut(rows.withColumn("queries", F.transform("queries", lambda q: F.struct(q["mark"].alias("mark"), q["body"].alias("body"), scope(q["mark"]).alias("scope"), q["inner"].alias("inner")))))
 
@@ -97,7 +101,7 @@ def _queries(models: DataFrame, model: str, sql: str) -> DataFrame:
         ready = F.filter("queries", lambda q: ~F.array_contains(marks, q["mark"]) & (F.size(F.array_except(q["reads"], marks)) == 0))
         return F.concat(done, F.transform(ready, lambda q: F.struct(q["mark"].alias("mark"), k.alias("level")))).cast(kind)
 
-    levels = F.aggregate(F.sequence(F.lit(0), F.lit(DEPTH - 1)), F.array().cast(kind), next_level)
+    levels = F.aggregate(F.sequence(F.lit(0), rounds - 1), F.array().cast(kind), next_level)
     rows = cut(rows.withColumn("levels", F.map_from_entries(levels)))
     each = rows.select("model", "pieces", "ctes", "levels", F.explode("queries").alias("q"))
     return each.select("model", "pieces", "ctes", F.col("q.mark").alias("query"), "q.body", "q.scope", F.try_element_at("levels", F.col("q.mark")).alias("level"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from . import yaml_paths
 
 #: Levels of a document that are opened, and references that a chain may have; deeper objects are given as too_deep, longer chains as too_long.
@@ -18,7 +18,8 @@ def _escaped(key: Column) -> Column:
 
 def json_nodes(files: DataFrame) -> DataFrame:
     """(repo_id, path, pointer, parent, key, kind, value) of every value in JSON files: kind object, array, scalar or too_deep; value is a scalar's text. Files that don't parse give no rows."""
-    docs = files.where(F.endswith("path", F.lit(".json"))).select("repo_id", "path", F.try_parse_json("content").alias("v")).where("v IS NOT NULL")
+    texts = spread(files.where(F.endswith("path", F.lit(".json"))).select("repo_id", "path", "content"), "repo_id", "path")
+    docs = texts.select("repo_id", "path", F.try_parse_json("content").alias("v")).where("v IS NOT NULL")
     spark = files.sparkSession
 
     def kinds(level: DataFrame, deep: bool) -> DataFrame:

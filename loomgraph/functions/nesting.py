@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .extract import SYMBOLS, lines
+from ..session import spread
+from .extract import SYMBOLS
 
 #: Languages whose blocks are told by indentation, and those whose blocks end with a word (and which words begin one).
 INDENTED = ("python",)
@@ -25,48 +26,53 @@ def _code(text: Column) -> Column:
 
 
 def _levels(files: DataFrame) -> DataFrame:
-    """(repo_id, path, language, line, text, level, back): the level before each line, and the levels that it comes back to."""
-    all_ = lines(files).where(F.trim("text") != "").withColumn("code", _code(F.col("text"))).where(F.trim("code") != "")
-    order = Window.partitionBy(*_FILE).orderBy("line")
-    # Indentation: a line that doesn't stand further right than the one before ends the blocks of all levels in between.
+    """(repo_id, path, language, line, code, level, back, previous, last_line): the level before each line, the levels that it comes back to, the line of code before it and the last of its file.
+
+    Files are dealt by path before they become lines; all windows keep to a file, so its lines stay in that task.
+    """
+    each = spread(files.where("repo_id IS NOT NULL AND path IS NOT NULL").select(*_FILE, "language", "content"), *_FILE)
+    # Cut and stripped in one go, else the filter would strip each line a second time.
+    all_ = each.select(*_FILE, "language", F.posexplode(F.transform(F.split("content", "\r?\n"), _code)).alias("i", "code")).where(F.trim("code") != "")
+    indented, word = F.col("language").isin(*INDENTED), F.col("language").isin(*WORDED)
     indent = F.length(F.regexp_replace(F.regexp_extract("code", r"^(\s*)", 1), "\t", "    "))
-    tabbed = all_.where(F.col("language").isin(*INDENTED)).withColumn("level", indent).withColumn("last", F.lag("level").over(order))
-    indented = tabbed.withColumn("back", F.when(F.col("last") >= F.col("level"), F.sequence("level", "last")).otherwise(F.array().cast("array<int>"))).drop("last")
-    # Brackets: depth before the line, then that after each closing one.
-    word = F.col("language").isin(*WORDED)
     opens = F.when(word, F.regexp_replace(F.col("code"), r"^\s*(?:def|class|module|if|unless|case|while|until|begin|for)\b.*|.*\bdo\b(?:\s*\|[^|]*\|)?\s*$", "{")).otherwise(F.col("code"))
     marks = F.regexp_replace(F.when(word, F.regexp_replace(opens, r"^\s*end\b.*", "}")).otherwise(opens), r"[^{}]", "")
-    signs = F.transform(F.split(marks, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
-    total = F.aggregate(signs, F.lit(0), lambda a, x: a + x)
-    braced = all_.where(~F.col("language").isin(*INDENTED)).withColumns({"signs": signs, "net": total})
-    braced = braced.withColumn("level", F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    after = F.transform("signs", lambda s, i: F.when(s < 0, F.col("level") + F.aggregate(F.slice("signs", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)))
-    braced = braced.withColumn("back", F.array_distinct(F.filter(after, F.isnotnull)))
-    columns = [*_FILE, "language", "line", "code", "level", "back"]
-    return indented.select(*columns).unionByName(braced.select(*columns))
+    lines_ = all_.select(*_FILE, "language", (F.col("i") + 1).alias("line"), "code", F.when(indented, indent).alias("indent"), F.when(~indented, marks).alias("marks"))
+    order = Window.partitionBy(*_FILE).orderBy("line")
+    net = F.length("marks") - 2 * _closing(F.col("marks"))
+    before = F.coalesce(F.sum(net).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    lines_ = lines_.withColumns({"level": F.when(indented, F.col("indent")).otherwise(before), "last": F.lag("indent").over(order), "previous": F.lag("line").over(order), "last_line": F.max("line").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # Indentation: a line that doesn't stand further right than the one before ends the blocks of all levels in between. Brackets: depth after each closing one.
+    after = F.transform(F.sequence(F.lit(1), F.length("marks")), lambda i: F.when(F.substr("marks", i, F.lit(1)) == "}", F.col("level") + i - 2 * _closing(F.substr("marks", F.lit(1), i))))
+    back = F.when(F.col("last") >= F.col("level"), F.sequence("level", "last")).when(F.contains("marks", F.lit("}")), F.array_distinct(F.filter(after, F.isnotnull)))
+    return lines_.select(*_FILE, "language", "line", "code", "level", back.alias("back"), "previous", "last_line")
+
+
+def _closing(marks: Column) -> Column:
+    """How many of a line's brackets are closing ones."""
+    return F.length(F.replace(marks, F.lit("{"), F.lit("")))
 
 
 def spans(files: DataFrame) -> DataFrame:
     """(repo_id, path, language, kind, name, line, end_line) of functions, classes and the like.
 
     end_line is the line of the bracket (or word) that closes a definition, or the last line of an indented block; a definition without a body ends
-    where it stands, one that is never closed at the last line of its file.
+    where it stands, one that is never closed at the last line of its file. Files without a repository, a path, a language or content give no row.
     """
     leveled = _levels(files)
-    last = leveled.groupBy(*_FILE).agg(F.max("line").alias("last_line"))
     # Definitions are looked for in lines whose strings and comments are gone already.
     named = [F.when(F.col("language").isin(*ls), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("code", pattern, 1).alias("name"))) for ls, kind, pattern in SYMBOLS if kind in _DEFINITIONS]
-    found = leveled.select(*_FILE, "language", "line", "level", "code", F.explode(F.filter(F.array_distinct(F.array(*named)), lambda s: s.isNotNull() & (s["name"] != ""))).alias("s"))
+    found = F.filter(F.array_distinct(F.array(*named)), lambda s: s.isNotNull() & (s["name"] != ""))
     python = F.col("language").isin(*INDENTED)
     bodiless = ~python & F.rlike("code", F.lit(r";\s*$")) & ~F.contains("code", F.lit("{"))
-    starts = found.select(*_FILE, "level", "line", F.lit(1).alias("order"), "language", F.col("s.kind").alias("kind"), F.col("s.name").alias("name"), bodiless.alias("bodiless"))
-    # The line that ends an indented block is the one before; a bracket ends it where it stands.
-    previous = F.lag("line").over(Window.partitionBy(*_FILE).orderBy("line"))
-    ends = leveled.withColumn("end", F.when(python, previous).otherwise(F.col("line"))).select(*_FILE, F.explode("back").alias("level"), "line", "end", python.alias("python"))
+    # Rows of a line: its definitions, and the levels it ends. The line that ends an indented block is the one before; a bracket ends it where it stands.
     # Seen from the end of the file; on one line the end of a bracket comes after the definition, that of an indented block before.
-    rows = starts.withColumn("end", F.lit(None).cast("int")).unionByName(ends.select(*_FILE, "level", "line", F.when(F.col("python"), 0).otherwise(2).alias("order"), "end"), allowMissingColumns=True)
+    row = "array<struct<level:int,order:int,kind:string,name:string,bodiless:boolean,end:int>>"
+    starts = F.transform(found, lambda s: F.struct(F.col("level"), F.lit(1), s["kind"], s["name"], bodiless, F.lit(None).cast("int")))
+    ends = F.transform("back", lambda b: F.struct(b, F.when(python, 0).otherwise(2), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.when(python, F.col("previous")).otherwise(F.col("line"))))
+    rows = leveled.select(*_FILE, "language", "line", "last_line", F.inline(F.concat(starts.cast(row), F.coalesce(ends.cast(row), F.array().cast(row)))))
     nearest = F.last("end", ignorenulls=True).over(Window.partitionBy(*_FILE, "level").orderBy(F.desc("line"), F.desc("order")).rowsBetween(Window.unboundedPreceding, -1))
-    closed = rows.withColumn("closed", nearest).where("kind IS NOT NULL").join(last, list(_FILE))
+    closed = rows.withColumn("closed", nearest).where("kind IS NOT NULL")
     end = F.when(F.col("bodiless"), F.col("line")).otherwise(F.coalesce("closed", "last_line"))
     return closed.select(*_FILE, "language", "kind", "name", "line", F.greatest(end, F.col("line")).alias("end_line"))
 
@@ -77,8 +83,9 @@ def nested(found: DataFrame) -> DataFrame:
     Spans either nest or lie apart, so of the starts and ends before a line those that are still open are the ones around it: each is told by the
     number of spans that are open where it begins, and its parent is the last one before it that begins one less deep.
     """
-    edge = found.select(*_FILE, F.col("line").alias("at"), F.lit(1).alias("step"), "line", "end_line", "kind", "name").unionByName(
-        found.select(*_FILE, (F.col("end_line") + 1).alias("at"), F.lit(-1).alias("step"), "line", "end_line", "kind", "name"))
+    # Both from one row, as found would be made twice for a union.
+    edges = F.array(F.struct(F.col("line").alias("at"), F.lit(1).alias("step")), F.struct((F.col("end_line") + 1).alias("at"), F.lit(-1).alias("step")))
+    edge = found.select(*_FILE, "line", "end_line", "kind", "name", F.inline(edges))
     order = Window.partitionBy(*_FILE).orderBy("at", "step", F.desc("end_line"), "line", "name")
     deep = edge.withColumn("open", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("step = 1").withColumn("depth", F.coalesce("open", F.lit(0)).cast("int")).drop("open", "at", "step")
     # Around a definition of depth d stands the last before it of depth d - 1: one row for the depth, one for the depth it holds.

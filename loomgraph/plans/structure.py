@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nesting
+from ..session import spread
 from ..sources.files import language_of
 from ..sources.tables import Tables
 from .registry import Registry
@@ -41,7 +42,9 @@ def _code(t: Tables) -> DataFrame:
     body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.concat(indent, F.lit("v"), i.cast("string"), F.lit(" = w("), i.cast("string"), F.lit(")"))), "\n")
     content = F.replace(F.replace(choose([x[1] for x in LAYOUTS]), F.lit("$"), key), F.lit("~"), body)
     path = F.concat(F.lit("src/f"), key, F.lit("."), choose([x[0] for x in LAYOUTS]))
-    return t.part.select(F.concat(F.lit("repo:"), F.col("p_size") % 25).alias("repo_id"), path.alias("path"), content.alias("content")).withColumn("language", language_of("path"))
+    # Parts are dealt by their file before it is written, as their table is read by few tasks.
+    parts = spread(t.part.select("p_partkey", "p_size", F.concat(F.lit("repo:"), F.col("p_size") % 25).alias("repo_id"), path.alias("path")), "repo_id", "path")
+    return parts.select("repo_id", "path", content.alias("content")).withColumn("language", language_of("path"))
 
 
 def _file() -> Column:

@@ -85,3 +85,16 @@ def test_containment(spark):
 def test_unclosed(spark):
     files = spark.createDataFrame([("r", "a.go", "go", "func a() {\n\tx()\n\nfunc b() {\n}\n")], "repo_id string, path string, language string, content string")
     assert {(r["name"], r["line"], r["end_line"]) for r in N.spans(files).collect()} == {("a", 1, 5), ("b", 4, 5)}
+
+
+def test_brackets_that_close_and_open_on_one_line(spark):
+    text = "function a() {\n  if (x) { y() } else { z() }\n  try {\n  } catch (e) { } finally {\n  }\n}\nfunction b() { return {} }; function c() {\n}\n"
+    files = spark.createDataFrame([("r", "a.ts", "typescript", text)], "repo_id string, path string, language string, content string")
+    assert {(r["name"], r["line"], r["end_line"]) for r in N.spans(files).collect()} == {("a", 1, 6), ("b", 7, 7)}
+
+
+def test_files_without_repository_path_language_or_content_give_no_row(spark):
+    text = "func a() {\n}\n"
+    rows = [(None, "a.go", "go", text), ("r", None, "go", text), ("r", "b.go", None, text), ("r", "c.go", "go", None), ("r", "d.go", "go", text)]
+    found = N.containment(N.spans(spark.createDataFrame(rows, "repo_id string, path string, language string, content string")))
+    assert [(r["path"], r["dst"]) for r in found.collect()] == [("d.go", "a")]

@@ -1,8 +1,10 @@
 """How rows are dealt before much is made of them, and joins with tables of a few rules."""
 
-from loomgraph.functions import semantics
+from loomgraph.functions import nesting, semantics
 from loomgraph.operators import rulepacks
+from loomgraph.plans import structure
 from loomgraph.session import spread
+from loomgraph.sources.tables import Tables
 
 
 def plan(df):
@@ -24,3 +26,16 @@ def test_packs_are_broadcast(spark):
     found = plan(rulepacks.match_counts(cands, atoms, rulepacks.first_party(spark)))
     assert "BroadcastHashJoin" in found
     assert plan(rulepacks.evaluate(cands, atoms, rulepacks.first_party(spark))).count("BroadcastHashJoin") >= 5
+
+
+def test_nesting_reads_files_once_and_deals_them_once(spark):
+    files = spark.createDataFrame([("r", "a.go", "go", "func a() {\n}\n")], "repo_id string, path string, language string, content string")
+    found = plan(nesting.containment(nesting.spans(files)))
+    assert found.count("Exchange") == 1 and found.count("Scan ") == 1
+
+
+def test_parts_are_dealt_before_their_files_are_written(spark, data):
+    for query in (structure.definition_spans, structure.definition_containment, structure.nesting_profile):
+        found = plan(query(Tables(spark, data)))
+        assert found.count("REPARTITION_BY_NUM") == 1 and found.count("FileScan") == 1
+        assert "class C$" not in found[found.index("REPARTITION_BY_NUM") :]

@@ -18,6 +18,8 @@ INDENTED = ("python",)
 WORDED = ("ruby",)
 _DEFINITIONS = ("Function", "Class", "Struct", "Interface", "Trait")
 _FILE = ("repo_id", "path")
+#: Tasks for each shuffle partition: a file becomes a row for each line and more, which are sorted four times in the same task.
+TASKS = 4
 
 
 def _code(text: Column) -> Column:
@@ -30,7 +32,7 @@ def _levels(files: DataFrame) -> DataFrame:
 
     Files are dealt by path before they become lines; all windows keep to a file, so its lines stay in that task.
     """
-    each = spread(files.where("repo_id IS NOT NULL AND path IS NOT NULL").select(*_FILE, "language", "content"), *_FILE)
+    each = spread(files.where("repo_id IS NOT NULL AND path IS NOT NULL").select(*_FILE, "language", "content"), *_FILE, times=TASKS)
     # Cut and stripped in one go, else the filter would strip each line a second time.
     all_ = each.select(*_FILE, "language", F.posexplode(F.transform(F.split("content", "\r?\n"), _code)).alias("i", "code")).where(F.trim("code") != "")
     indented, word = F.col("language").isin(*INDENTED), F.col("language").isin(*WORDED)

@@ -43,7 +43,7 @@ def _code(t: Tables) -> DataFrame:
     content = F.replace(F.replace(choose([x[1] for x in LAYOUTS]), F.lit("$"), key), F.lit("~"), body)
     path = F.concat(F.lit("src/f"), key, F.lit("."), choose([x[0] for x in LAYOUTS]))
     # Parts are dealt by their file before it is written, as their table is read by few tasks.
-    parts = spread(t.part.select("p_partkey", "p_size", F.concat(F.lit("repo:"), F.col("p_size") % 25).alias("repo_id"), path.alias("path")), "repo_id", "path")
+    parts = spread(t.part.select("p_partkey", "p_size", F.concat(F.lit("repo:"), F.col("p_size") % 25).alias("repo_id"), path.alias("path")), "repo_id", "path", times=nesting.TASKS)
     return parts.select("repo_id", "path", content.alias("content")).withColumn("language", language_of("path"))
 
 

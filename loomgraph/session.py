@@ -35,12 +35,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys over as many tasks as the session has shuffle partitions.
+def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
+    """df dealt by keys over as many tasks as the session has shuffle partitions, or so many times as many.
 
     For small rows that much is made of: a table of few bytes is read by few tasks, and would be put together into few again without a given number.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def cut(df: DataFrame) -> DataFrame:

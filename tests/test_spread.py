@@ -39,3 +39,8 @@ def test_parts_are_dealt_before_their_files_are_written(spark, data):
         found = plan(query(Tables(spark, data)))
         assert found.count("REPARTITION_BY_NUM") == 1 and found.count("FileScan") == 1
         assert "class C$" not in found[found.index("REPARTITION_BY_NUM") :]
+
+
+def test_lines_of_files_are_sorted_in_more_tasks_than_a_shuffle_has(spark, data):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {nesting.TASKS * most}), REPARTITION_BY_NUM" in plan(structure.definition_containment(Tables(spark, data))) and nesting.TASKS > 1

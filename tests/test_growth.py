@@ -74,7 +74,7 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["reachable_pairs", "transitive_callees"])
+@pytest.mark.parametrize("name", ["reachable_pairs", "transitive_callees", "transitive_callers"])
 def test_calls_are_dealt_once_for_all_levels(spark, data, shuffled, name):
     lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
     assert catalog.queries()[name](spark, data).count() > 0
